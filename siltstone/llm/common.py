@@ -48,6 +48,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """df, to be broadcast if it has so few rows (counted here); for rows of a few bounded fields only."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else. lower() does the same, and is faster, where no other character can have a lower case."""
     plain = ~text.rlike("[^\\x00-\\xBF\\xDF-\\xF6\\xF8-\\xFF\\u2010-\\u2040]")

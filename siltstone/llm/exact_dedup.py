@@ -17,13 +17,17 @@ never read, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from siltstone.llm.common import ascii_lower, scratch, written
+from siltstone.llm.common import ascii_lower, scratch, small, written
 
 #: Bytes of keys (some 50 a row) in a batch of the stream.
-BATCH = "16g"
+BATCH = 16 << 30
 #: A group of more rows than the rows over this is looked up by broadcast; there are HEAVY of these at most.
 HEAVY = 1000
 STREAM = {
@@ -40,85 +44,75 @@ def normalised(text: Column) -> Column:
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """docs with `locator`, the file and row of each; rows that are not in files are first written to the shared folder."""
-    docs = docs.select(F.struct(*docs.columns).alias("row")) if not is_scan(docs) else docs.select(F.struct(*docs.columns).alias("row"), "_metadata.file_path", "_metadata.row_index")
-    if "file_path" not in docs.columns:
-        docs = written(docs, "located").select("row", "_metadata.file_path", "_metadata.row_index")
-    return docs.select("row", F.struct(F.col("file_path").alias("file"), F.col("row_index").alias("at")).alias("locator"))
+    """Each row of docs as `row`, with `locator`, its file and place there. Rows that are not read from files are first
+    written to the shared folder."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias("locator")
+    return docs.select(row, at) if is_scan(docs) else written(docs.select(row), "documents").select("row", at)
 
 
 def is_scan(docs: DataFrame) -> bool:
     try:
         docs.select("_metadata.file_path", "_metadata.row_index").schema  # noqa: B018
-    except Exception as e:
-        if "UNRESOLVED_COLUMN" in str(e) or "FIELD_NOT_FOUND" in str(e):
+    except AnalysisException as e:
+        if e.getCondition() in ("UNRESOLVED_COLUMN.WITH_SUGGESTION", "UNRESOLVED_COLUMN.WITHOUT_SUGGESTION"):
             return False
         raise
-    return True
-
+    return "_metadata" not in docs.columns
 
-def streamed(keys: str, schema, batch: str = BATCH) -> DataFrame:
-    """What the stream's state holds after all files of keys: one row for each digest and length."""
-    from pyspark.sql import SparkSession
 
-    spark = SparkSession.active()
-    out, state = scratch(spark, "groups"), scratch(spark, "state")
+def streamed(keys: DataFrame, path: str, batch: int = BATCH) -> DataFrame:
+    """What the stream's state holds after all files of path: one row for each digest and length."""
+    spark = keys.sparkSession
+    out, state = scratch(spark, "updates"), scratch(spark, "state")
     before = {k: spark.conf.get(k, None) for k in STREAM}
     for k, v in STREAM.items():
         spark.conf.set(k, v)
     try:
-        source = spark.readStream.schema(schema).option("maxBytesPerTrigger", batch).parquet(keys)
+        source = spark.readStream.schema(keys.schema).option("maxBytesPerTrigger", batch).parquet(path)
         groups = source.groupBy("digest", "n_bytes").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "locator")).alias("last"))
         sink = groups.writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True)
         sink.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}")).start().awaitTermination()
+        kinds = StructType(groups.schema.fields).add("batch", "integer")
     finally:
         for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    kinds = f"digest binary, n_bytes long, n long, last {dict(schema_types(schema))['last']}, batch int"
-    try:
-        found = spark.read.schema(kinds).parquet(out)
-        found.schema  # noqa: B018
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        found = spark.createDataFrame([], kinds)  # no rows, no batch
-    return found.groupBy("digest", "n_bytes").agg(F.max_by(F.struct("n", "last"), "batch").alias("s")).select("digest", "n_bytes", "s.n", "s.last")
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    updates = written(spark.createDataFrame([], kinds), "none") if keys.isEmpty() else spark.read.schema(kinds).parquet(out)
+    return updates.groupBy("digest", "n_bytes").agg(F.max_by(F.struct("n", "last"), "batch").alias("s")).select("digest", "n_bytes", "s.n", "s.last")
 
 
-def schema_types(schema):
-    by = {f.name: f.dataType.simpleString() for f in schema}
-    return [("last", f"struct<doc_id:{by['doc_id']},locator:{by['locator']}>")]
+def sha(text: Column) -> Column:
+    return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: str = BATCH) -> DataFrame:
+def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: int = BATCH, digest: Callable[[Column], Column] = sha) -> DataFrame:
     """Per row: doc_id, locator, digest (of the normalised text), keep_id, keep_locator and group_size."""
-    rows = located(docs)
+    rows, on = located(docs), ["digest", "n_bytes"]
     text = normalised(F.col(f"row.`{text_col}`"))
-    keyed = lambda *more: rows.select(F.col(f"row.`{id_col}`").alias("doc_id"), "locator", F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"), *more)
+    full = rows.select(F.col(f"row.`{id_col}`").alias("doc_id"), "locator", digest(text).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("content"))
     path = scratch(docs.sparkSession, "keys")
-    keyed().write.parquet(path)
-    keys = docs.sparkSession.read.schema(keyed().schema).parquet(path)
-    groups = written(streamed(path, keys.schema, batch), "groups")
+    full.drop("content").write.parquet(path)
+    keys = docs.sparkSession.read.schema(full.drop("content").schema).parquet(path)
+    groups = written(streamed(keys, path, batch), "groups")
 
     # Hits: the bytes themselves are the grouping key; the digest alone decides nothing.
-    hits = groups.filter("n > 1").select("digest", "n_bytes")
-    heavy = F.broadcast(groups.groupBy().agg(F.sum("n").alias("rows")).join(groups.filter("n > 1"), F.col("n") * HEAVY > F.col("rows")).select("digest", "n_bytes"))
-    on = ["digest", "n_bytes"]
-    full = keyed(text.alias("content"))
-    seen = full.join(heavy, on, "left_semi").unionByName(full.join(heavy, on, "left_anti").join(hits, on, "left_semi"))
-    texts = seen.groupBy("digest", "n_bytes", "content").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "locator")).alias("last"))
-    texts = written(texts.withColumn("alike", F.xxhash64("content")).drop("content"), "texts")
-    clash = texts.groupBy(on).count().filter("count > 1").select(on)
-    same = groups.filter("n = 1").select(*on, "n", "last").unionByName(texts.join(clash, on, "left_anti").select(*on, "n", "last"))
-    of = written(same, "kept")
-
-    light = keys.join(heavy, on, "left_anti")
-    big = F.broadcast(of.join(heavy, on, "left_semi"))
+    seen = full.join(small(groups.filter("n > 1").select(on)), on, "left_semi")
+    texts = seen.groupBy(*on, "content").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "locator")).alias("last"))
+    checked = written(texts.drop("content"), "checked")
+    clash = checked.groupBy(on).count().filter("count > 1").select(on)
+    same = groups.filter("n = 1").unionByName(checked).join(clash, on, "left_anti")
+
+    rows = groups.agg(F.sum("n")).first()[0] or 0
+    heavy = F.broadcast(groups.filter(F.col("n") * HEAVY > rows).select(on))
     cols = ["doc_id", "locator", "digest", F.col("last.doc_id").alias("keep_id"), F.col("last.locator").alias("keep_locator"), F.col("n").alias("group_size")]
-    found = keys.join(big, on).select(*cols).unionByName(light.join(of, on).select(*cols))
-    if not clash.isEmpty():  # two texts of one digest: their rows are looked up by the text
-        apart = full.join(clash, on, "left_semi").withColumn("alike", F.xxhash64("content"))
-        found = found.unionByName(apart.join(texts, [*on, "alike"]).select(*cols))
+    found = keys.join(F.broadcast(same.join(heavy, on, "left_semi")), on).select(*cols)
+    found = found.unionByName(keys.join(heavy, on, "left_anti").join(same, on).select(*cols))
+    if not clash.isEmpty():  # different texts of one digest: their rows are looked up by the text
+        apart = full.join(clash, on, "left_semi")
+        found = found.unionByName(apart.join(texts.join(clash, on, "left_semi"), [*on, "content"]).select(*cols))
     return found
 
 
@@ -130,10 +124,5 @@ def keep_last(docs: DataFrame) -> DataFrame:
     """The documents less those with the text of another that stays."""
     if not is_scan(docs):
         docs = written(docs, "documents")
-    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
-    gone = duplicates(docs).filter(~kept()).select(F.col("locator").alias("gone"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), at.alias("locator"))
-    return rows.join(gone, rows.locator == gone.gone, "left_anti").select("row.*")
-
-
-__all__ = ["Row", "duplicates", "keep_last", "kept", "normalised"]
+    gone = duplicates(docs).filter(~kept()).select("locator")
+    return located(docs).join(small(gone), "locator", "left_anti").select("row.*")

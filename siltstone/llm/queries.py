@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, simhash
+from siltstone.llm import bpe, exact_dedup, simhash
 from siltstone.llm.common import documents
 
+ORACLE: dict[str, str] = {}
+#: A-Z to lower case, and nothing else.
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -18,9 +21,23 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = exact_dedup.duplicates(documents(spark, sf_dir))
+    return out.select("doc_id", "keep_id", "group_size", exact_dedup.kept().alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+ORACLE["op3_exact_dedup"] = f"""
+WITH d AS (SELECT doc_id, {LOWER.format("coalesce(text, '')")} AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t)"""
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op10_simhash": op10_simhash}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op3_exact_dedup": op3_exact_dedup,
+    "op10_simhash": op10_simhash,
+}
