@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, exact_dedup, simhash
+from siltstone.llm import bpe, exact_dedup, line_dedup, quality, simhash
 from siltstone.llm.common import documents
 
 ORACLE: dict[str, str] = {}
@@ -32,6 +32,26 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM d WINDOW w AS (PARTITION BY t)"""
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE["op5_line_dedup"] = f"""
+WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i, ls[i] AS line, {LOWER.format("trim(ls[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS k
+      FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM s)),
+r AS (SELECT k, max(doc_id) AS last FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (r.last <> doc_id) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (r.last IS NULL OR r.last = doc_id), '')) AS kept_sha256
+FROM l LEFT JOIN r USING (k) GROUP BY doc_id"""
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_words", "lines_failed"]
+    return quality.judge(documents(spark, sf_dir)).select(*cols)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
@@ -39,5 +59,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_line_dedup": op5_line_dedup,
+    "op8_quality": op8_quality,
     "op10_simhash": op10_simhash,
 }
