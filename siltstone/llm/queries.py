@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, exact_dedup, line_dedup, quality, simhash
+from siltstone.llm import bpe, exact_dedup, language, line_dedup, quality, simhash
 from siltstone.llm.common import documents
 
 ORACLE: dict[str, str] = {}
@@ -47,6 +47,10 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (r.last <> doc_id) AS n_drop
 FROM l LEFT JOIN r USING (k) GROUP BY doc_id"""
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_words", "lines_failed"]
     return quality.judge(documents(spark, sf_dir)).select(*cols)
@@ -60,6 +64,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_line_dedup": op5_line_dedup,
+    "op6_language": op6_language,
     "op8_quality": op8_quality,
     "op10_simhash": op10_simhash,
 }
