@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, exact_dedup, language, line_dedup, quality, simhash
+from siltstone.llm import bpe, chunk_dedup, exact_dedup, language, line_dedup, quality, simhash
 from siltstone.llm.common import documents
 
 ORACLE: dict[str, str] = {}
@@ -56,6 +56,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).select(*cols)
 
 
+def op9_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chunk_dedup.dedup_chunks(documents(spark, sf_dir))
+    left = F.sha2(chunk_dedup.without(F.col("text"), F.col("repeats")).cast("binary"), 256)
+    return out.select("doc_id", "repeating", "n_repeats", "repeat_bytes", "longest_run", "owners", left.alias("left_sha256"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
@@ -66,5 +72,6 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op6_language": op6_language,
     "op8_quality": op8_quality,
+    "op9_chunk_dedup": op9_chunk_dedup,
     "op10_simhash": op10_simhash,
 }
