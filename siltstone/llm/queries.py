@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, chunk_dedup, exact_dedup, language, line_dedup, quality, simhash
+from siltstone.llm import bpe, chunk_dedup, exact_dedup, language, line_dedup, quality, simhash, toxicity
 from siltstone.llm.common import documents
 
 ORACLE: dict[str, str] = {}
@@ -51,6 +51,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_words", "lines_failed"]
     return quality.judge(documents(spark, sf_dir)).select(*cols)
@@ -71,6 +75,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op6_language": op6_language,
+    "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
     "op9_chunk_dedup": op9_chunk_dedup,
     "op10_simhash": op10_simhash,
