@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, chunk_dedup, exact_dedup, language, line_dedup, quality, simhash, toxicity
+from siltstone.llm import bpe, chunk_dedup, exact_dedup, language, line_dedup, pii, quality, simhash, toxicity
 from siltstone.llm.common import documents
 
 ORACLE: dict[str, str] = {}
@@ -21,6 +21,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find(documents(spark, sf_dir))
+    counts = [pii.count(F.col("base"), k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    return out.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.duplicates(documents(spark, sf_dir))
     return out.select("doc_id", "keep_id", "group_size", exact_dedup.kept().alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
@@ -72,6 +78,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_pii": op2_pii,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op6_language": op6_language,
