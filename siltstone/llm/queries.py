@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, chunk_dedup, exact_dedup, language, line_dedup, pii, quality, simhash, toxicity
+from siltstone.llm import bpe, chunk_dedup, exact_dedup, language, line_dedup, packing, pii, quality, simhash, toxicity
 from siltstone.llm.common import documents
 
 ORACLE: dict[str, str] = {}
@@ -38,6 +38,10 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM d WINDOW w AS (PARTITION BY t)"""
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(documents(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -80,6 +84,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_pii": op2_pii,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_packing": op4_packing,
     "op5_line_dedup": op5_line_dedup,
     "op6_language": op6_language,
     "op7_toxicity": op7_toxicity,

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import small_batches, written
+from siltstone.llm.common import small, small_batches, written
 
 WORDS, SEED, BITS = 3, 42, 3
 #: Fingerprints at an anchor beyond which it is split.
@@ -148,5 +148,5 @@ def hexed(fp: Column) -> Column:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents less all but one of each component: the row with the component's smallest doc_id stays. Rows with
     a null doc_id stay."""
-    gone = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = written(near_duplicates(docs).filter("doc_id <> component_id").select("doc_id"), "gone")
+    return docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
