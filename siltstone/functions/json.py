@@ -11,7 +11,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NODE = "array<struct<key: string, value: string, type: string, atom: string, id: int, parent: int, fullkey: string, path: string>>"
-MISSING = object()
+
+
+class MISSING:
+    """Nothing there. A class, as it stays the same one in every worker."""
+
 
 
 def dumps(v) -> str:

@@ -16,9 +16,7 @@ WORD = re.compile(r"[^\W_]+")
 def tokens(text: Column, kind: str = "unicode61") -> Column:
     """Arrays of tokens: runs of letters and digits in lower case, of ASCII ones, or all runs of three characters."""
     if kind == "trigram":
-        low = F.lower(text)
-        n = F.length(low) - 2
-        return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(low, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+        return F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(...))"), F.lit(1))  # a look ahead takes nothing, so runs overlap
     pattern = "[a-z0-9]+" if kind == "ascii" else "[\\p{L}\\p{N}]+"
     return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
 

@@ -62,13 +62,17 @@ class IncrementalView:
             return  # this batch is in the view already
         new = self.deltas(batch)
         if self.version >= 0:
-            new = self.read().unionByName(new).groupBy(*self.keys).agg(*[F.sum(c).alias(c) for c in ("n", *self.sums)])
-        new.filter("n <> 0").write.mode("overwrite").parquet(f"{self.path}/{i}")
+            new = self.stored().unionByName(new).groupBy(*self.keys).agg(*[F.sum(c).alias(c) for c in ("n", *self.sums)])
+        new.write.mode("overwrite").parquet(f"{self.path}/{i}")
         self.version = i
 
-    def read(self) -> DataFrame:
+    def stored(self) -> DataFrame:
+        """All keys ever seen: one whose rows cancel out now may come back in a later batch."""
         return self.spark.read.parquet(f"{self.path}/{self.version}")
 
+    def read(self) -> DataFrame:
+        return self.stored().filter("n <> 0")
+
     def follow(self, changes: DataFrame) -> None:
         """Takes in all that there is of a stream."""
         state = f"{self.path}/_state"
