@@ -52,6 +52,7 @@ def drops(docs: DataFrame, length: int = LENGTH, documents: int = DOCUMENTS) ->
     at = at.withColumn("line", F.btrim("line", F.lit(ENDS))).filter(F.length("line") >= length)
     at = at.select("doc_id", "text_id", "pos", *hashes(ascii_lower(F.col("line")))).join(again, ["h1", "h2"])
     order = ["h1", "h2", F.col("doc_id").desc(), "text_id", "pos"]
+    at = written(at, "lines")  # finding the ranges reads the rows twice; texts are split once
     ranged = at.repartitionByRange(*order[:3]).sortWithinPartitions(*order)
     first = F.col("doc_id").eqNullSafe(F.col("last"))
     return ranged.filter(~first).select("doc_id", "text_id", "pos")
