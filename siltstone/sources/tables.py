@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import sqlite3
 import tempfile
 import uuid
@@ -29,7 +31,9 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir names no shared folder")
-        found = "file://" + tempfile.mkdtemp(prefix="siltstone-")
+        folder = tempfile.mkdtemp(prefix="siltstone-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
