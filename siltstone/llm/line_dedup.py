@@ -5,7 +5,7 @@ documents hold lose all their lines but those in the largest doc_id that holds t
 
 First the distinct keys of each document, as 128-bit hashes, are counted with the largest doc_id; partial counts are made
 before the shuffle, so a line in every document is one row per task. Only lines whose hash passed go on: they are
-range-partitioned by hash and document and sorted by hash, document and position, so that a hot hash spreads over tasks
+written to the shared folder, range-partitioned by hash and document and sorted by hash, document and position, so that a hot hash spreads over tasks
 and each hash's first occurrences, those of its largest document, are told apart while rows stream by. Their positions
 become one bitmap per document, 64 lines to a long, 1 for a line that stays; lines beyond its end stay, and documents
 that keep everything have none.
