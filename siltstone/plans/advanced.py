@@ -53,6 +53,12 @@ def compound_left_assoc(spark: SparkSession, d: str) -> DataFrame:
     return R.compound(n.select(c("n_regionkey").alias("k")), ("union", n.select("n_nationkey")), ("intersect", cu.filter("c_custkey < 60").select("c_nationkey")), ("except", r.select("r_regionkey")))
 
 
+@query("compound_left_assoc_whole", "SELECT k FROM (SELECT * FROM (SELECT n_regionkey AS k FROM nation UNION SELECT n_nationkey FROM nation) INTERSECT SELECT c_nationkey FROM customer) EXCEPT SELECT r_regionkey FROM region")
+def compound_left_assoc_whole(spark: SparkSession, d: str) -> DataFrame:
+    n, cu, r = (table(spark, d, t) for t in ("nation", "customer", "region"))
+    return R.compound(n.select(c("n_regionkey").alias("k")), ("union", n.select("n_nationkey")), ("intersect", cu.select("c_nationkey")), ("except", r.select("r_regionkey")))
+
+
 @query("cte_recursive_distinct", "WITH RECURSIVE r(n) AS (SELECT CAST(1 AS BIGINT) UNION SELECT (n * 3) % 101 FROM r) SELECT n FROM r")
 def cte_recursive_distinct(spark: SparkSession, d: str) -> DataFrame:
     return R.recursive(spark.range(1, 2).select(c("id").alias("n")), lambda df: df.select(((c("n") * 3) % 101).alias("n")))
