@@ -3,8 +3,8 @@ pointwise mutual information give each term a polarity, and documents are scored
 
 Terms are words in lower case, cut to STEM letters so that inflected forms meet, and longer words also cut to LONG. Seeds are the terms whose odds in
 toxic documents of a bounded labelled sample (LABELLED rows) differ most surely from those in the other ones, SEEDS of a
-side at most. Counts of terms and of the pairs within SPAN words of a seed cover every document; partial counts meet
-before the shuffle. The walks restart at the seeds of their side and stay in Spark; only the polarities (LEXICON at most)
+side at most. Counts of terms and of all pairs of terms within SPAN words cover every document; partial counts meet
+before the shuffle, and pairs of PAIRS uses or more make the graph. The walks restart at the seeds of their side and stay in Spark; only the polarities (LEXICON at most)
 come to the driver and go to the scoring workers. Two figures of a document, the sum and the largest of its terms'
 polarities, go through a logistic curve that is fitted on the same labelled sample.
 
@@ -48,18 +48,6 @@ def terms(text: str | None) -> list[str]:
     return [w[:STEM] for w in words] + [w[:LONG] for w in words if len(w) > STEM]
 
 
-def neighbours(text: str | None, of: set[str]) -> list[tuple[str, str]]:
-    """Seeds in a text, each with every stem within SPAN words and, for longer words, what they are cut to."""
-    words = WORD.findall((text or "").lower())
-    found = []
-    for i, w in enumerate(words):
-        own = [t for t in {w[:STEM], w[:LONG]} if t in of]
-        if own:
-            near = words[max(0, i - SPAN) : i] + words[i + 1 : i + 1 + SPAN]
-            found += [(s, t) for s in own for v in near for t in {v[:STEM], v[:LONG]}]
-    return found
-
-
 def sample(labels: DataFrame, rows: int = LABELLED) -> DataFrame:
     """Up to rows labels (doc_id, toxic) of rows that are not held out: all, or a share by a hash of the id."""
     known = labels.select("doc_id", "toxic").filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
@@ -112,61 +100,107 @@ def seeds(counts: DataFrame, docs: int, toxic: int, clean: int) -> tuple[dict[st
     return {r.term: r.odds for r in bad.collect()}, {r.term: r.odds for r in good.collect()}
 
 
-def pairs(docs: DataFrame, of: set[str]) -> DataFrame:
-    """How often each term stands within SPAN words of each seed: seed, term, n."""
+class Pairs:
+    """Counts of pairs of terms within SPAN words, of the texts since the last rows(). A pair is a number made of the
+    places of its terms in `known`; what is pending is sorted and merged into the counts now and then."""
+
+    def __init__(self) -> None:
+        self.words: dict[str, int] = {}
+        self.known: dict[str, int] = {}
+        self.stem: list[int] = []
+        self.long: list[int] = []
+        self.pending: list[np.ndarray] = []
+        self.waiting = 0
+        self.codes, self.n = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, text: str | None) -> None:
+        at = []
+        for w in WORD.findall((text or "").lower()):
+            i = self.words.get(w)
+            if i is None:
+                i = self.words[w] = len(self.words)
+                self.stem.append(self.known.setdefault(w[:STEM], len(self.known)))
+                self.long.append(self.known.setdefault(w[:LONG], len(self.known)) if len(w) > STEM else -1)
+            at.append(i)
+        stem, long = (np.array([x[i] for i in at], np.int64) for x in (self.stem, self.long))
+        for k in range(1, min(SPAN, len(at) - 1) + 1):
+            for x in (stem[:-k], long[:-k]):
+                for y in (stem[k:], long[k:]):
+                    both = (x >= 0) & (y >= 0)
+                    u, v = x[both], y[both]
+                    self.pending.append(np.minimum(u, v) << 32 | np.maximum(u, v))
+                    self.waiting += len(u)
+        if self.waiting > 4 * HELD:
+            self.merge()
+
+    def merge(self) -> None:
+        new, n = np.unique(np.concatenate([np.empty(0, np.int64), *self.pending]), return_counts=True)
+        codes, n = np.concatenate([self.codes, new]), np.concatenate([self.n, n])
+        self.pending, self.waiting = [], 0
+        order = np.argsort(codes, kind="stable")  # two sorted runs, so a merge
+        codes, n = codes[order], n[order]
+        first = np.flatnonzero(np.diff(codes, prepend=-1))
+        self.codes, self.n = codes[first], np.add.reduceat(n, first) if len(first) else n
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """The counts so far, the lesser term of a pair first; then it starts anew."""
+        self.merge()
+        names = list(self.known)
+        rank = np.empty(len(names), np.int64)
+        rank[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+        terms_ = pa.array(names, pa.string())
+        for i in range(0, len(self.codes), HELD):
+            u, v = self.codes[i : i + HELD] >> 32, self.codes[i : i + HELD] & 0xFFFFFFFF
+            turn = rank[u] > rank[v]
+            a, b = np.where(turn, v, u), np.where(turn, u, v)
+            yield pa.RecordBatch.from_arrays([terms_.take(pa.array(a)), terms_.take(pa.array(b)), pa.array(self.n[i : i + HELD])], ["a", "b", "n"])
+        self.__init__()
+
+
+def pairs(docs: DataFrame, of: set[str] | None = None, least: int = 1) -> DataFrame:
+    """How often each term stands within SPAN words of each other one (or of those in `of`), if least times or more:
+    seed, term, n, each pair both ways."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            cols = [pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.string()), pa.array(list(held.values()), pa.int64())]
-            held.clear()
-            return pa.RecordBatch.from_arrays(cols, ["seed", "term", "n"])
-
+        held = Pairs()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                held.update(neighbours(text, of))
-            if len(held) > HELD:
-                yield out()
-        yield out()
+                held.add(text)
+            if len(held.codes) > 6 * HELD:
+                yield from held.rows()
+        yield from held.rows()
 
-    return docs.select("text").mapInArrow(run, "seed string, term string, n long").groupBy("seed", "term").agg(F.sum("n").alias("n"))
+    found = docs.select("text").mapInArrow(run, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    found = found.withColumn("n", F.when(F.col("a") == F.col("b"), 2 * F.col("n")).otherwise(F.col("n"))).filter(F.col("n") >= least)
+    way = lambda x, y: F.struct(F.col(x).alias("seed"), F.col(y).alias("term"), "n")
+    both = found.select(F.inline(F.when(F.col("a") == F.col("b"), F.array(way("a", "b"))).otherwise(F.array(way("a", "b"), way("b", "a")))))
+    return both if of is None else both.filter(F.col("seed").isin(*of))
 
 
 def graph(found: DataFrame, counts: DataFrame) -> DataFrame:
-    """Edges u, v, w both ways; w is the positive pointwise mutual information as a share of all that leaves u. All edges
-    of a seed are known; of another term only those to seeds, so they share what part of its pairs has a seed in it."""
+    """Edges u, v, w both ways, between any two terms; w is the positive pointwise mutual information as a share of all that leaves u."""
     uses = counts.agg(F.sum("uses")).first()[0] or 1
     of = counts.select("term", "uses")
     named = found.filter((F.col("n") >= PAIRS) & (F.col("seed") != F.col("term"))).join(of, "term").join(of.select(F.col("term").alias("seed"), F.col("uses").alias("own")), "seed")
-    around = named.select("seed", "term", (F.col("n") / (2 * SPAN * F.col("uses"))).alias("part"), F.log(F.col("n") * uses / (2 * SPAN * F.col("uses") * F.col("own").cast("double"))).alias("w"))
-    ppmi = written(around.filter("w > 0"), "ppmi")
-    edge = lambda df, u, v, part: df.withColumn("total", F.sum("w").over(Window.partitionBy(u))).select(F.col(u).alias("u"), F.col(v).alias("v"), (F.col("w") / F.col("total") * part).alias("w"))
-    own = ppmi.select(F.col("seed").alias("term")).distinct()
-    rest = ppmi.join(own, "term", "left_anti")
-    part = F.least(F.sum("part").over(Window.partitionBy("term")), F.lit(1.0))
-    return written(edge(ppmi, "seed", "term", F.lit(1.0)).union(edge(rest.withColumn("all", part), "term", "seed", F.col("all"))), "graph")
-
-
-def walk(edges: DataFrame, start: dict[str, float], steps: int = STEPS) -> DataFrame:
-    """Node and share after a walk that starts at the seeds in start and goes back to them, as often as they weigh."""
-    total = sum(start.values())
-    at = edges.sparkSession.createDataFrame([(s, w / total) for s, w in start.items()], "node string, p double")
-    home = at.select("node", (F.col("p") * RESTART).alias("p"))
+    ppmi = named.select(F.col("seed").alias("u"), F.col("term").alias("v"), F.log(F.col("n") * uses / (2 * SPAN * F.col("uses") * F.col("own").cast("double"))).alias("w")).filter("w > 0")
+    return written(ppmi.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("u"))), "graph")
+
+
+def walk(edges: DataFrame, bad: dict[str, float], good: dict[str, float], steps: int = STEPS) -> DataFrame:
+    """node, bad and good: its shares after walks that start at the seeds of a side and go back to them, as often as they weigh."""
+    share = lambda of, s: of.get(s, 0.0) / (sum(of.values()) or 1.0)
+    at = edges.sparkSession.createDataFrame([(s, share(bad, s), share(good, s)) for s in sorted({*bad, *good})], "node string, bad double, good double")
+    home = at.select("node", *[(F.col(c) * RESTART).alias(c) for c in ("bad", "good")])
     for _ in range(steps):
-        moved = at.join(edges, at.node == edges.u).select(F.col("v").alias("node"), (F.col("p") * F.col("w") * (1 - RESTART)).alias("p"))
-        at = written(moved.unionByName(home).groupBy("node").agg(F.sum("p").alias("p")), "walk")
+        moved = at.join(edges, at.node == edges.u).select(F.col("v").alias("node"), *[(F.col(c) * F.col("w") * (1 - RESTART)).alias(c) for c in ("bad", "good")])
+        at = written(moved.unionByName(home).groupBy("node").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "walk")
     return at
 
 
 def polarities(edges: DataFrame, bad: dict[str, float], good: dict[str, float]) -> dict[str, float]:
     """Terms and polarities from -1 to 1. Shares far below a seed's own count for little."""
-    p, q = walk(edges, bad), walk(edges, good) if good else None
-    both = p.withColumnRenamed("p", "bad")
-    both = both.join(q.withColumnRenamed("p", "good"), "node", "full") if good else both.withColumn("good", F.lit(0.0))
-    bad_p, good_p = F.coalesce("bad", F.lit(0.0)), F.coalesce("good", F.lit(0.0))
     least = RESTART / 2 / len(bad)
-    scored = both.select("node", ((bad_p - good_p) / (bad_p + good_p + least)).alias("polarity")).filter(F.abs("polarity") >= LEAST)
+    scored = walk(edges, bad, good).select("node", ((F.col("bad") - F.col("good")) / (F.col("bad") + F.col("good") + least)).alias("polarity")).filter(F.abs("polarity") >= LEAST)
     return {r.node: r.polarity for r in scored.orderBy(F.desc(F.abs("polarity")), "node").limit(LEXICON).collect()}
 
 
@@ -210,7 +244,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     bad, good = seeds(counts, rows.count(), n[1], n[0])
     if not bad:
         return done(nothing)
-    lexicon = polarities(graph(written(pairs(rows, {*bad, *good}), "pairs"), counts), bad, good)
+    lexicon = polarities(graph(written(pairs(rows, least=PAIRS), "pairs"), counts), bad, good)
     found = written(rows.select("doc_id", figures(F.col("text"), lexicon).alias("f")).select("doc_id", F.log1p("f.total").alias("total"), "f.top"), "figures")
     seen = np.array([tuple(r) for r in found.join(F.broadcast(known), "doc_id").select("total", "top", (F.col("toxic") > 0).cast("double")).limit(4 * LABELLED).collect()])
     if not len(seen):

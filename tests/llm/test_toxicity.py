@@ -80,3 +80,14 @@ def test_query(spark):
     label = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     held = [r for r in rows.values() if r.held_out and r.doc_id in label]
     assert np.mean([r.predicted == label[r.doc_id] for r in held]) > 0.9
+
+
+def test_graph_joins_terms_that_are_no_seeds(spark):
+    rows = [("grommit aaa",)] * 4 + [("aaa bbb",)] * 4 + [(f"x{'abcdefghij'[i % 10]} y{'klmnopqrst'[i % 10]}",) for i in range(40)] + [("solo wanda",)] * 2
+    df = spark.createDataFrame(rows, "text string").selectExpr("text", "CAST(NULL AS INT) AS toxic")
+    edges = toxicity.graph(toxicity.pairs(df, least=toxicity.PAIRS), toxicity.counted(df)).collect()
+    found = {(r.u, r.v) for r in edges}
+    assert {("grommit"[:5], "aaa"), ("aaa", "bbb"), ("bbb", "aaa"), ("xa", "yk")} <= found and ("solo", "wanda") not in found
+    assert all(abs(sum(r.w for r in edges if r.u == u) - 1) < 1e-9 for u in {u for u, _ in found})
+    reached = {r.node: r.bad for r in toxicity.walk(spark.createDataFrame(edges), {"gromm": 1.0}, {}).collect()}
+    assert reached["bbb"] > 0 and "xa" not in reached
