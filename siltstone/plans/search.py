@@ -50,6 +50,11 @@ def fts_highlight(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", T.highlight(F.substring("text", 1, 200), ["the", "und"], "<b>", "</b>").alias("h"))
 
 
+@query("fts_highlight_whole")
+def fts_highlight_whole(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.highlight(F.col("text"), ["the", "und"], "<b>", "</b>").alias("h"))
+
+
 @query("fts_snippet")
 def fts_snippet(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.snippet(F.col("text"), ["license", "the"], "[", "]", "...", 8).alias("s"))
