@@ -12,7 +12,7 @@ Scale: a document sends each digest once, partial aggregates meet before the shu
 documents go back to where they occur. Of these, the ones in more than a thousandth of all documents' chunks are a
 thousand at most and are broadcast; the others are joined by shuffle.
 
-Defined cases: a null text counts as empty and has no chunk; a text shorter than LEAST is one chunk; a document is a row
+Defined cases: a null text counts as empty and has no chunk; a text shorter than FINE_LEAST is one chunk; a document is a row
 known by its doc_id and text, so an identical row with the same doc_id is the same document, and rows of one doc_id with
 different texts repeat within it; a null doc_id keeps no chunk that another document holds; texts are read whole; empty
 tables give empty tables; other columns are never read.
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import small_batches, written
 
 LEAST, MOST, MASK = 24, 256, 31
+#: What texts are cut with: finer than the defaults of cuts(), so that a copied passage of 51 words seldom has less than RUN bytes of chunks.
+FINE_LEAST, FINE_MASK = 16, 15
 #: Bytes of repeats in a row that make a document a repeating one.
 RUN = 80
 HEAVY = 1000
@@ -68,7 +70,7 @@ def cuts(raw: bytes, least: int = LEAST, most: int = MOST, mask: int = MASK) ->
 def chunks(text: str | None) -> tuple[list[bytes], list[int], list[int]]:
     """Digests, starts and lengths of a text's chunks, in bytes of its normalised form."""
     raw = BLANK.sub(b" ", (text or "").encode("utf-8", "surrogatepass").lower()).strip()
-    ends = cuts(raw) if raw else []
+    ends = cuts(raw, FINE_LEAST, MOST, FINE_MASK) if raw else []
     starts = [0, *ends][: len(ends)]
     return [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(starts, ends, strict=True)], starts, [b - a for a, b in zip(starts, ends, strict=True)]
 

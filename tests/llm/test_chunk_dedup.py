@@ -1,6 +1,8 @@
 import random
 from collections import defaultdict
 
+import pyarrow.parquet as pq
+
 from siltstone.llm import chunk_dedup, queries
 
 
@@ -62,6 +64,27 @@ def test_passages_are_found_and_clean_texts_left_alone(spark):
     assert len(left[304]) < 500 and left[100] == rows[60][1] and len(left[40]) < len(left[0]) - 100
 
 
+def test_passages_of_51_words_of_real_texts(tables):
+    """The longest run of shared chunks reaches RUN for nearly all passages put into two documents at random places."""
+    words = [r["text"].split() for r in pq.read_table(f"{tables}/documents.parquet", columns=["text"]).to_pylist() if r["text"]]
+    words = [w for w in words if len(w) >= 120]
+    rnd = random.Random(5)
+    missed = 0
+    for _ in range(1000):
+        passage, docs = rnd.choice(words), []
+        at = rnd.randrange(len(passage) - 50)
+        for _ in range(2):
+            w = rnd.choice(words)[:150]
+            i = rnd.randrange(len(w))
+            docs.append(chunk_dedup.chunks(" ".join(w[:i] + passage[at : at + 51] + w[i:])))
+        held, run, best = set(docs[0][0]), 0, 0
+        for x, n in zip(docs[1][0], docs[1][2], strict=True):
+            run = run + n if x in held else 0
+            best = max(best, run)
+        missed += best < chunk_dedup.RUN
+    assert missed <= 15
+
+
 def test_ties_and_nulls(spark):
     rnd = random.Random(3)
     a, b = prose(rnd, 60), prose(rnd, 60)
