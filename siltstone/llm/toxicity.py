@@ -1,16 +1,22 @@
-"""Toxicity by lexicon induction: random walks from labelled seed terms over a graph of terms whose edges are positive
-pointwise mutual information give each term a polarity, and documents are scored by their terms' polarities.
-
-Terms are words in lower case, cut to STEM letters so that inflected forms meet, and longer words also cut to LONG. Seeds are the terms whose odds in
-toxic documents of a bounded labelled sample (LABELLED rows) differ most surely from those in the other ones, SEEDS of a
-side at most. Counts of terms and of all pairs of terms within SPAN words cover every document; partial counts meet
-before the shuffle, and pairs of PAIRS uses or more make the graph. The walks restart at the seeds of their side and stay in Spark; only the polarities (LEXICON at most)
-come to the driver and go to the scoring workers. Two figures of a document, the sum and the largest of its terms'
-polarities, go through a logistic curve that is fitted on the same labelled sample.
+"""Toxicity by lexicon induction: random walks from labelled seed words over a graph of words whose edges are positive
+pointwise mutual information give each word a polarity, and documents are scored by their words' polarities.
+
+Words are whole words in lower case. Seeds are the words whose odds in toxic documents of a bounded labelled sample
+(LABELLED rows) differ surely from those in the other ones. The graph has the words of FEW documents or more and of the
+share COMMON of all documents at most; its edges join words within SPAN of each other, PAIRS times or more, and none
+need be a seed. Counts of words and pairs cover every document. The walks restart at the seeds of their side. Three figures
+of a document, the sums of its words' positive and negative polarities and the largest, go through a logistic curve that
+is fitted on the same labelled sample.
+
+Scale: counts are aggregated in each task before they are shuffled, and pairs travel as two hashes of 64 bits. What is
+sent to the workers is bounded: words of more than a share COMMON of the documents are at most the words of a document over
+that share; rare words are told by a bitmap of BITS bits, in which a false hit costs a row of the shuffle and changes nothing, as
+the graph is joined with exact counts. Seeds stand in LABELLED documents, and as a side's shares add up to one, words of
+a polarity of LEAST are some sixteen times the seeds at most: that bounds the lexicon without a cap.
 
 Labels are only taken of rows that are not held out; language, source and id are no input of a score.
 
-Defined cases: a null or empty text has no terms and gets the score of such texts; texts are read whole; of several labels
+Defined cases: a null or empty text has no words and gets the score of such texts; texts are read whole; of several labels
 of a document any 1 counts; a null label is none; without labels of both kinds every score is 0; repeated rows give
 repeated results; empty tables give empty tables; other columns are never read.
 """
@@ -23,16 +29,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import held_out, small_batches, written
 
-STEM, LONG, SPAN = 5, 8, 5
-LABELLED, SEEDS, LEXICON = 40_000, 300, 5000
-#: How sure a seed is (signed root of its log-likelihood ratio; 4.5 leaves no chance findings among a million terms),
-#: of which share of its labelled documents must be toxic, and how rare a seed of the other side must be.
-SURE, MOSTLY, COMMON = 4.5, 0.6, 0.01
+SPAN, FEW, COMMON = 1, 5, 0.05
+LABELLED = 40_000
+#: How sure a seed is (signed root of its log-likelihood ratio; 4.5 leaves no chance findings among a million words), and
+#: of which share of its labelled documents must be toxic.
+SURE, MOSTLY = 4.5, 0.6
+#: Bits of the map of words that aren't rare.
+BITS = 1 << 24
 #: Pairs seen less often say nothing; chance that a step of a walk goes back to its seeds; steps.
 PAIRS, RESTART, STEPS = 3, 0.3, 4
 #: Polarities below this are left out.
@@ -44,8 +53,7 @@ WORD = re.compile(r"[^\W\d_]+")
 
 
 def terms(text: str | None) -> list[str]:
-    words = WORD.findall((text or "").lower())
-    return [w[:STEM] for w in words] + [w[:LONG] for w in words if len(w) > STEM]
+    return WORD.findall((text or "").lower())
 
 
 def sample(labels: DataFrame, rows: int = LABELLED) -> DataFrame:
@@ -86,50 +94,73 @@ def counted(docs: DataFrame) -> DataFrame:
     return some.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("uses", "docs", "toxic", "clean")])
 
 
-def seeds(counts: DataFrame, docs: int, toxic: int, clean: int) -> tuple[dict[str, float], dict[str, float]]:
-    """Terms of toxic documents, and of the other ones, and their log odds."""
+def seeds(counts: DataFrame, toxic: int, clean: int) -> DataFrame:
+    """The words of toxic documents, and of the other ones: term, bad and good, its log odds on its side or 0."""
     a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
     part = lambda x, n: F.when(x > 0, x * F.log(x / ((a + b) * n / (toxic + clean)))).otherwise(0.0)
     rest = lambda x, n: F.when(n - x > 0, (n - x) * F.log((n - x) / ((toxic + clean - a - b) * n / (toxic + clean)))).otherwise(0.0)
     ratio = 2 * (part(a, toxic) + part(b, clean) + rest(a, F.lit(toxic)) + rest(b, F.lit(clean)))
     sure = F.sqrt(F.greatest(ratio, F.lit(0.0))) * F.when(a * clean > b * toxic, 1).otherwise(-1)
     odds = F.abs(F.log((a + 0.5) / (toxic - a + 0.5)) - F.log((b + 0.5) / (clean - b + 0.5)))
-    scored = counts.filter((F.col("toxic") > 0) | (F.col("clean") > 0)).select("term", "docs", sure.alias("sure"), odds.alias("odds"), (a / (a + b)).alias("share"))
-    bad = scored.filter((F.col("sure") >= SURE) & (F.col("share") >= MOSTLY)).orderBy(F.desc("sure"), "term").limit(SEEDS)
-    good = scored.filter((F.col("sure") < 0) & (F.col("docs") <= max(5, COMMON * docs))).orderBy("sure", "term").limit(SEEDS // 6)
-    return {r.term: r.odds for r in bad.collect()}, {r.term: r.odds for r in good.collect()}
+    scored = counts.filter((F.col("toxic") > 0) | (F.col("clean") > 0)).select("term", sure.alias("sure"), odds.alias("odds"), (a / (a + b)).alias("share"))
+    bad, good = (F.col("sure") >= SURE) & (F.col("share") >= MOSTLY), F.col("sure") <= -SURE
+    of = lambda side: F.when(side, F.col("odds")).otherwise(0.0)
+    return scored.filter(bad | good).select("term", of(bad).alias("bad"), of(good).alias("good"))
+
+
+def hashed(term: str) -> int:
+    """Spark's xxhash64 of a string."""
+    h = xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass"), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def nodes(counts: DataFrame, docs: int) -> DataFrame:
+    """The words of the graph: h, term and uses."""
+    return counts.filter((F.col("docs") >= FEW) & (F.col("docs") <= max(FEW, COMMON * docs))).select(F.xxhash64("term").alias("h"), "term", "uses")
+
+
+def bitmap(of: DataFrame, bits: int = BITS) -> bytes:
+    """One bit for each hash modulo bits."""
+    at = F.pmod("h", F.lit(bits))
+    words = of.groupBy(F.floor(at / 64).cast("int").alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))).alias("w")).collect()
+    out = np.zeros(bits // 64, np.int64)
+    for r in words:
+        out[r.i] = r.w
+    return out.tobytes()
 
 
 class Pairs:
-    """Counts of pairs of terms within SPAN words, of the texts since the last rows(). A pair is a number made of the
-    places of its terms in `known`; what is pending is sorted and merged into the counts now and then."""
+    """Counts of pairs of words within SPAN of each other, of the texts since the last rows(). A pair is a number made of the
+    places of its words in `hashes`; what is pending is sorted and merged into the counts now and then."""
 
-    def __init__(self) -> None:
+    def __init__(self, rare: np.ndarray, common: frozenset[str]) -> None:
+        self.rare, self.common = rare, common
         self.words: dict[str, int] = {}
-        self.known: dict[str, int] = {}
-        self.stem: list[int] = []
-        self.long: list[int] = []
+        self.hashes: list[int] = []
         self.pending: list[np.ndarray] = []
         self.waiting = 0
         self.codes, self.n = np.empty(0, np.int64), np.empty(0, np.int64)
 
+    def place(self, word: str) -> int:
+        i = self.words.get(word)
+        if i is None:
+            h = hashed(word)
+            at = h % (len(self.rare) * 64)
+            if word in self.common or not int(self.rare[at >> 6]) >> (at & 63) & 1:
+                i = -1
+            else:
+                i = len(self.hashes)
+                self.hashes.append(h)
+            self.words[word] = i
+        return i
+
     def add(self, text: str | None) -> None:
-        at = []
-        for w in WORD.findall((text or "").lower()):
-            i = self.words.get(w)
-            if i is None:
-                i = self.words[w] = len(self.words)
-                self.stem.append(self.known.setdefault(w[:STEM], len(self.known)))
-                self.long.append(self.known.setdefault(w[:LONG], len(self.known)) if len(w) > STEM else -1)
-            at.append(i)
-        stem, long = (np.array([x[i] for i in at], np.int64) for x in (self.stem, self.long))
+        at = np.fromiter(map(self.place, terms(text)), np.int64)
         for k in range(1, min(SPAN, len(at) - 1) + 1):
-            for x in (stem[:-k], long[:-k]):
-                for y in (stem[k:], long[k:]):
-                    both = (x >= 0) & (y >= 0)
-                    u, v = x[both], y[both]
-                    self.pending.append(np.minimum(u, v) << 32 | np.maximum(u, v))
-                    self.waiting += len(u)
+            both = (at[:-k] >= 0) & (at[k:] >= 0)
+            u, v = at[:-k][both], at[k:][both]
+            self.pending.append(np.minimum(u, v) << 32 | np.maximum(u, v))
+            self.waiting += len(u)
         if self.waiting > 4 * HELD:
             self.merge()
 
@@ -142,54 +173,56 @@ class Pairs:
         first = np.flatnonzero(np.diff(codes, prepend=-1))
         self.codes, self.n = codes[first], np.add.reduceat(n, first) if len(first) else n
 
+    def full(self) -> bool:
+        return len(self.codes) > 20 * HELD or len(self.words) > 5 * HELD
+
     def rows(self) -> Iterator[pa.RecordBatch]:
-        """The counts so far, the lesser term of a pair first; then it starts anew."""
+        """The counts so far, by the hashes of their words, the lesser one first; then it starts anew."""
         self.merge()
-        names = list(self.known)
-        rank = np.empty(len(names), np.int64)
-        rank[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
-        terms_ = pa.array(names, pa.string())
-        for i in range(0, len(self.codes), HELD):
-            u, v = self.codes[i : i + HELD] >> 32, self.codes[i : i + HELD] & 0xFFFFFFFF
-            turn = rank[u] > rank[v]
-            a, b = np.where(turn, v, u), np.where(turn, u, v)
-            yield pa.RecordBatch.from_arrays([terms_.take(pa.array(a)), terms_.take(pa.array(b)), pa.array(self.n[i : i + HELD])], ["a", "b", "n"])
-        self.__init__()
-
-
-def pairs(docs: DataFrame, of: set[str] | None = None, least: int = 1) -> DataFrame:
-    """How often each term stands within SPAN words of each other one (or of those in `of`), if least times or more:
-    seed, term, n, each pair both ways."""
+        h = np.array(self.hashes, np.int64)
+        u, v = h[self.codes >> 32], h[self.codes & 0xFFFFFFFF]
+        a, b = np.minimum(u, v), np.maximum(u, v)
+        order = np.lexsort((b, a))  # equal values side by side compress
+        a, b, n = a[order], b[order], self.n[order]
+        for i in range(0, len(a), HELD):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + HELD]) for x in (a, b, n)], ["a", "b", "n"])
+        self.__init__(self.rare, self.common)
+
+
+def pairs(docs: DataFrame, counts: DataFrame, n_docs: int, least: int = PAIRS) -> DataFrame:
+    """How often words of the graph stand within SPAN of each other, if least times or more: a and b (hashes, a < b) and n."""
+    common = frozenset(r.term for r in counts.filter((F.col("docs") > max(FEW, COMMON * n_docs))).select("term").collect())
+    rare = bitmap(nodes(counts, n_docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Pairs()
+        held = Pairs(np.frombuffer(rare, np.int64), common)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 held.add(text)
-            if len(held.codes) > 6 * HELD:
+            if held.full():
                 yield from held.rows()
         yield from held.rows()
 
-    found = docs.select("text").mapInArrow(run, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    found = found.withColumn("n", F.when(F.col("a") == F.col("b"), 2 * F.col("n")).otherwise(F.col("n"))).filter(F.col("n") >= least)
-    way = lambda x, y: F.struct(F.col(x).alias("seed"), F.col(y).alias("term"), "n")
-    both = found.select(F.inline(F.when(F.col("a") == F.col("b"), F.array(way("a", "b"))).otherwise(F.array(way("a", "b"), way("b", "a")))))
-    return both if of is None else both.filter(F.col("seed").isin(*of))
+    found = docs.select("text").mapInArrow(run, "a long, b long, n long").filter("a <> b")
+    return found.groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
-def graph(found: DataFrame, counts: DataFrame) -> DataFrame:
-    """Edges u, v, w both ways, between any two terms; w is the positive pointwise mutual information as a share of all that leaves u."""
-    uses = counts.agg(F.sum("uses")).first()[0] or 1
-    of = counts.select("term", "uses")
-    named = found.filter((F.col("n") >= PAIRS) & (F.col("seed") != F.col("term"))).join(of, "term").join(of.select(F.col("term").alias("seed"), F.col("uses").alias("own")), "seed")
-    ppmi = named.select(F.col("seed").alias("u"), F.col("term").alias("v"), F.log(F.col("n") * uses / (2 * SPAN * F.col("uses") * F.col("own").cast("double"))).alias("w")).filter("w > 0")
-    return written(ppmi.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("u"))), "graph")
+def graph(found: DataFrame, of: DataFrame) -> DataFrame:
+    """Edges u, v, w both ways, between any two words of nodes(); w is the positive pointwise mutual information as a share of all that leaves u."""
+    uses = of.agg(F.sum("uses")).first()[0] or 1
+    end = lambda x: of.select(F.col("h").alias(x), F.col("term").alias(f"term_{x}"), F.col("uses").cast("double").alias(f"uses_{x}"))
+    named = found.join(end("a"), "a").join(end("b"), "b")
+    ppmi = named.withColumn("w", F.log(F.col("n") * uses / (2 * SPAN * F.col("uses_a") * F.col("uses_b")))).filter("w > 0")
+    way = lambda x, y: F.struct(F.col(x).alias("u"), F.col(y).alias("v"), "w")
+    edges = written(ppmi.select(F.inline(F.array(way("term_a", "term_b"), way("term_b", "term_a")))), "ppmi")
+    leaving = edges.groupBy("u").agg(F.sum("w").alias("all"))
+    return written(edges.join(leaving, "u").select("u", "v", (F.col("w") / F.col("all")).alias("w")), "graph")
 
 
-def walk(edges: DataFrame, bad: dict[str, float], good: dict[str, float], steps: int = STEPS) -> DataFrame:
+def walk(edges: DataFrame, of: DataFrame, steps: int = STEPS) -> DataFrame:
     """node, bad and good: its shares after walks that start at the seeds of a side and go back to them, as often as they weigh."""
-    share = lambda of, s: of.get(s, 0.0) / (sum(of.values()) or 1.0)
-    at = edges.sparkSession.createDataFrame([(s, share(bad, s), share(good, s)) for s in sorted({*bad, *good})], "node string, bad double, good double")
+    sums = of.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).first()
+    at = of.select(F.col("term").alias("node"), *[(F.col(c) / (sums[c] or 1.0)).alias(c) for c in ("bad", "good")])
     home = at.select("node", *[(F.col(c) * RESTART).alias(c) for c in ("bad", "good")])
     for _ in range(steps):
         moved = at.join(edges, at.node == edges.u).select(F.col("v").alias("node"), *[(F.col(c) * F.col("w") * (1 - RESTART)).alias(c) for c in ("bad", "good")])
@@ -197,33 +230,35 @@ def walk(edges: DataFrame, bad: dict[str, float], good: dict[str, float], steps:
     return at
 
 
-def polarities(edges: DataFrame, bad: dict[str, float], good: dict[str, float]) -> dict[str, float]:
-    """Terms and polarities from -1 to 1. Shares far below a seed's own count for little."""
-    least = RESTART / 2 / len(bad)
-    scored = walk(edges, bad, good).select("node", ((F.col("bad") - F.col("good")) / (F.col("bad") + F.col("good") + least)).alias("polarity")).filter(F.abs("polarity") >= LEAST)
-    return {r.node: r.polarity for r in scored.orderBy(F.desc(F.abs("polarity")), "node").limit(LEXICON).collect()}
+def polarities(edges: DataFrame, of: DataFrame) -> dict[str, float]:
+    """Words and polarities from -1 to 1. Shares far below a seed's own count for little."""
+    n = of.agg(F.count(F.when(F.col("bad") > 0, 1)).alias("bad"), F.count(F.when(F.col("good") > 0, 1)).alias("good")).first()
+    least = RESTART / 2 / max(1, n.bad)
+    scored = walk(edges, of).select("node", ((F.col("bad") - F.col("good")) / (F.col("bad") + F.col("good") + least)).alias("polarity"))
+    return {r.node: r.polarity for r in scored.filter(F.abs("polarity") >= LEAST).collect()}
 
 
 def figures(text: Column, lexicon: dict[str, float]) -> Column:
-    """Struct of the sum of a text's positive polarities (each term once) and the largest."""
+    """Struct of the sums of a text's positive and negative polarities (each word once) and of the largest."""
 
-    @F.arrow_udf("struct<total: double, top: double>")
+    @F.arrow_udf("struct<total: double, clean: double, top: double>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = {t: w for t, w in lexicon.items() if w > 0}
         for texts in batches:
-            found = [[known[t] for t in known.keys() & terms(x.as_py())] for x in texts]
-            yield pa.StructArray.from_arrays([pa.array([float(sum(sorted(f))) for f in found]), pa.array([max(f, default=0.0) for f in found])], ["total", "top"])
+            found = [sorted(lexicon[t] for t in lexicon.keys() & terms(x.as_py())) for x in texts]
+            cols = [[float(sum(v for v in f if v > 0)) for f in found], [float(-sum(v for v in f if v < 0)) for f in found], [max([0.0, *f[-1:]]) for f in found]]
+            yield pa.StructArray.from_arrays([pa.array(c, pa.float64()) for c in cols], ["total", "clean", "top"])
 
     return run(text)
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """Weights of a logistic curve with a small ridge, by Newton's method; the last one is the offset."""
+def fit(x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None, rounds: int = 50) -> np.ndarray:
+    """Weights of a logistic curve with a small ridge, by Newton's method; the last one is the offset. Row i counts n[i] times."""
+    n = np.ones(len(x)) if n is None else n
     x = np.column_stack([x, np.ones(len(x))])
     w, ridge = np.zeros(x.shape[1]), np.diag([1.0] * (x.shape[1] - 1) + [1e-6])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (n * (y - p)) - ridge @ w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
@@ -231,24 +266,25 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Per row: doc_id, held_out, score, predicted, total and top."""
+    """Per row: doc_id, held_out, score, predicted, total, clean and top."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     known = sample(labels)
     n = {r.toxic: r["count"] for r in known.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).count().collect()}
-    done = lambda df: df.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "total", "top")
-    nothing = rows.select("doc_id", F.lit(0.0).alias("score"), F.lit(0.0).alias("total"), F.lit(0.0).alias("top"))
+    cols = ["total", "clean", "top"]
+    done = lambda df: df.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *cols)
+    nothing = rows.select("doc_id", *[F.lit(0.0).alias(c) for c in ("score", *cols)])
     if not n.get(0) or not n.get(1):
         return done(nothing)
     counts = written(counted(rows.join(F.broadcast(known), "doc_id", "left")), "counts")  # known is bounded by LABELLED
-    bad, good = seeds(counts, rows.count(), n[1], n[0])
-    if not bad:
+    of, n_docs = written(seeds(counts, n[1], n[0]), "seeds"), rows.count()
+    if of.filter("bad > 0").isEmpty():
         return done(nothing)
-    lexicon = polarities(graph(written(pairs(rows, least=PAIRS), "pairs"), counts), bad, good)
-    found = written(rows.select("doc_id", figures(F.col("text"), lexicon).alias("f")).select("doc_id", F.log1p("f.total").alias("total"), "f.top"), "figures")
-    seen = np.array([tuple(r) for r in found.join(F.broadcast(known), "doc_id").select("total", "top", (F.col("toxic") > 0).cast("double")).limit(4 * LABELLED).collect()])
+    edges = graph(written(pairs(rows, counts, n_docs), "pairs"), nodes(counts, n_docs))
+    found = written(rows.select("doc_id", figures(F.col("text"), polarities(edges, of)).alias("f")).select("doc_id", F.log1p("f.total").alias("total"), F.log1p("f.clean").alias("clean"), "f.top"), "figures")
+    seen = np.array([tuple(r) for r in found.join(F.broadcast(known), "doc_id").groupBy(*cols, (F.col("toxic") > 0).cast("double").alias("y")).agg(F.count(F.lit(1)).cast("double").alias("n")).collect()])
     if not len(seen):
         return done(nothing)
-    w = fit(seen[:, :2], seen[:, 2])
-    z = float(w[0]) * F.col("total") + float(w[1]) * F.col("top") + float(w[2])
+    w = fit(seen[:, :3], seen[:, 3], seen[:, 4])
+    z = sum((float(x) * F.col(c) for x, c in zip(w, cols, strict=False)), F.lit(float(w[-1])))
     return done(found.withColumn("score", 1 / (1 + F.exp(-z))))

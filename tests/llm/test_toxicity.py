@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -25,25 +26,74 @@ def texts(n, seed=1):
 
 def test_counts_and_pairs_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "HELD", 5)
-    rows = [("Aa bbbbbbbbbb cc aa, dd", 1), ("bbbbbccc! Ää", 0), (None, 1), ("", None), ("aa " * 30, None)]
+    monkeypatch.setattr(toxicity, "FEW", 1)
+    monkeypatch.setattr(toxicity, "COMMON", 0.7)
+    rows = [("Aa bbbbbbbbbb cc aa, dd", 1), ("bbbbbccc! Ää aa", 0), (None, 1), ("", None), ("aa " * 30 + "cc", None), ("Dd aa dd", 0)]
     df = spark.createDataFrame(rows, "text string, toxic int")
     uses, docs, bad, clean, near = Counter(), Counter(), Counter(), Counter(), Counter()
-    for t, y in rows:
-        import re
-
-        words = re.findall(r"[a-zä]+", (t or "").lower())
-        ts = [x for w in words for x in [w[:5], *([w[:8]] if len(w) > 5 else [])]]
+    words = [re.findall(r"[a-zä]+", (t or "").lower()) for t, _ in rows]
+    for ts, (_, y) in zip(words, rows, strict=True):
         uses.update(ts)
         docs.update(set(ts))
         if y is not None:
             (bad if y else clean).update(set(ts))
-        for i, w in enumerate(words):
-            for s in {w[:5], w[:8]} & {"aa", "bbbbb"}:
-                for j in range(max(0, i - 5), min(len(words), i + 6)):
-                    near.update([(s, v) for v in {words[j][:5], words[j][:8]} if j != i])
-    got = {r.term: (r.uses, r.docs, r.toxic, r.clean) for r in toxicity.counted(df).collect()}
+    for ts in words:
+        near.update(tuple(sorted(p)) for p in zip(ts, ts[1:], strict=False) if p[0] != p[1] and all(1 <= docs[t] <= 0.7 * 6 for t in p))
+    counts = toxicity.counted(df)
+    got = {r.term: (r.uses, r.docs, r.toxic, r.clean) for r in counts.collect()}
     assert got == {t: (uses[t], docs[t], bad[t], clean[t]) for t in uses}
-    assert {(r.seed, r.term): r.n for r in toxicity.pairs(df, {"aa", "bbbbb"}).collect()} == dict(near)
+    name = {toxicity.hashed(t): t for t in uses}
+    for least in (1, 2):
+        got = {tuple(sorted((name[r.a], name[r.b]))): r.n for r in toxicity.pairs(df, counts, len(rows), least).collect()}
+        assert got == {p: n for p, n in near.items() if n >= least}
+
+
+def test_hashes_and_bitmap(spark):
+    df = spark.createDataFrame([("é",), ("",), ("word",)], "term string").selectExpr("term", "xxhash64(term) AS h")
+    assert all(r.h == toxicity.hashed(r.term) for r in df.collect())
+    bits = np.frombuffer(toxicity.bitmap(df, 1 << 10), np.uint8)
+    assert {int(i) for i in np.flatnonzero(np.unpackbits(bits, bitorder="little"))} == {toxicity.hashed(t) % (1 << 10) for t in ("é", "", "word")}
+
+
+def test_graph_walk_and_polarities_equal_brute_force(spark):
+    rnd = random.Random(4)
+    words = [f"w{'abcdefgh'[i // 8]}{'abcdefgh'[i % 8]}" for i in range(40)]
+    df = spark.createDataFrame([(" ".join(rnd.choices(words, k=30)),) for _ in range(60)], "text string").selectExpr("text", "CAST(NULL AS INT) AS toxic").cache()
+    counts = toxicity.counted(df)
+    of = toxicity.nodes(counts, 1000)
+    edges = toxicity.graph(toxicity.pairs(df, counts, 1000), of)
+    uses, near = Counter(), Counter()
+    for r in df.collect():
+        ws = r.text.split()
+        uses.update(ws)
+        near.update(tuple(sorted(p)) for p in zip(ws, ws[1:], strict=False) if p[0] != p[1])
+    w = {}
+    for (a, b), n in near.items():
+        x = np.log(n * sum(uses.values()) / (2 * uses[a] * uses[b]))
+        if n >= toxicity.PAIRS and x > 0:
+            w[a, b] = w[b, a] = x
+    out = Counter()
+    for (a, _), x in w.items():
+        out[a] += x
+    want = {(a, b): x / out[a] for (a, b), x in w.items()}
+    got = {(r.u, r.v): r.w for r in edges.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and len(want) > 50
+    seeds = spark.createDataFrame([(words[0], 3.0, 0.0), (words[1], 1.0, 0.0), (words[2], 0.0, 2.0), ("none", 0.0, 2.0)], "term string, bad double, good double")
+    home = {"bad": {words[0]: 0.75, words[1]: 0.25}, "good": {words[2]: 0.5, "none": 0.5}}
+    at = {k: dict(v) for k, v in home.items()}
+    for _ in range(toxicity.STEPS):
+        for side, start in home.items():
+            new = Counter({t: toxicity.RESTART * v for t, v in start.items()})
+            for (a, b), x in want.items():
+                new[b] += at[side].get(a, 0.0) * x * (1 - toxicity.RESTART)
+            at[side] = {t: v for t, v in new.items() if v}
+    walked = {r.node: (r.bad, r.good) for r in toxicity.walk(edges, seeds).collect()}
+    assert all(abs(walked[t][0] - at["bad"].get(t, 0)) + abs(walked[t][1] - at["good"].get(t, 0)) < 1e-9 for t in walked) and len(walked) > 30
+    least = toxicity.RESTART / 4
+    scores = {t: (x - y) / (x + y + least) for t, (x, y) in walked.items()}
+    got = toxicity.polarities(edges, seeds)
+    assert got.keys() == {t for t, v in scores.items() if abs(v) >= toxicity.LEAST} and all(abs(got[t] - scores[t]) < 1e-9 for t in got)
+    assert min(got.values()) < 0 < max(got.values())
 
 
 def test_logistic_curve():
@@ -82,12 +132,29 @@ def test_query(spark):
     assert np.mean([r.predicted == label[r.doc_id] for r in held]) > 0.9
 
 
-def test_graph_joins_terms_that_are_no_seeds(spark):
-    rows = [("grommit aaa",)] * 4 + [("aaa bbb",)] * 4 + [(f"x{'abcdefghij'[i % 10]} y{'klmnopqrst'[i % 10]}",) for i in range(40)] + [("solo wanda",)] * 2
+def test_query_equals_its_parts(spark, tables):
+    """The query's figures are those of a plain form, given the polarities."""
+    docs, labels = (spark.read.parquet(f"{tables}/{t}.parquet") for t in ("documents", "labels"))
+    known = toxicity.sample(labels)
+    n = Counter(int(r.toxic > 0) for r in known.collect())
+    rows = docs.select("doc_id", "text")
+    counts = toxicity.counted(rows.join(known, "doc_id", "left")).cache()
+    of = toxicity.seeds(counts, n[1], n[0])
+    edges = toxicity.graph(toxicity.pairs(rows, counts, docs.count()), toxicity.nodes(counts, docs.count()))
+    lexicon = toxicity.polarities(edges, of)
+    text = {r.doc_id: r.text for r in rows.collect()}
+    for r in toxicity.score_documents(docs, labels).collect():
+        f = [lexicon[t] for t in {w.lower() for w in re.findall(r"[^\W\d_]+", (text[r.doc_id] or "").lower())} if t in lexicon]
+        want = (np.log1p(sum(x for x in f if x > 0)), np.log1p(-sum(x for x in f if x < 0)), max([0.0, *f]))
+        assert np.allclose((r.total, r.clean, r.top), want, atol=1e-6)
+
+
+def test_graph_joins_words_that_are_no_seeds(spark):
+    rows = [("grommit aaa",)] * 5 + [("aaa bbb",)] * 5 + [(f"x{'abcdefghij'[i % 8]} y{'klmnopqrst'[i % 8]}",) for i in range(80)] + [("solo wanda",)] * 2
     df = spark.createDataFrame(rows, "text string").selectExpr("text", "CAST(NULL AS INT) AS toxic")
-    edges = toxicity.graph(toxicity.pairs(df, least=toxicity.PAIRS), toxicity.counted(df)).collect()
-    found = {(r.u, r.v) for r in edges}
-    assert {("grommit"[:5], "aaa"), ("aaa", "bbb"), ("bbb", "aaa"), ("xa", "yk")} <= found and ("solo", "wanda") not in found
-    assert all(abs(sum(r.w for r in edges if r.u == u) - 1) < 1e-9 for u in {u for u, _ in found})
-    reached = {r.node: r.bad for r in toxicity.walk(spark.createDataFrame(edges), {"gromm": 1.0}, {}).collect()}
+    counts = toxicity.counted(df)
+    edges = toxicity.graph(toxicity.pairs(df, counts, 1000), toxicity.nodes(counts, 1000))
+    found = {(r.u, r.v) for r in edges.collect()}
+    assert {("grommit", "aaa"), ("aaa", "bbb"), ("bbb", "aaa"), ("xa", "yk")} <= found and ("solo", "wanda") not in found
+    reached = {r.node: r.bad for r in toxicity.walk(edges, spark.createDataFrame([("grommit", 1.0, 0.0)], "term string, bad double, good double")).collect()}
     assert reached["bbb"] > 0 and "xa" not in reached
