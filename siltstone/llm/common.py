@@ -13,6 +13,8 @@ from siltstone.sources.tables import scratch
 SPACE = "[\\x20\\x09-\\x0D]"
 #: Rows in an Arrow batch. Texts reach some 100 kB, so the default of 10,000 rows would not fit a worker.
 ARROW_ROWS = 256
+#: Bits of the map that tells which rows may have a key: 2 MB, of 262,144 longs.
+BITS = 1 << 24
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -37,6 +39,17 @@ def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def parted(rows: DataFrame, keys: DataFrame, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+    """The rows whose hash (column h) may be among those of keys, and the rest, for which it isn't. Only the former need to be
+    shuffled to meet the keys. What is broadcast is a bitmap of a fixed size, whatever the size of keys."""
+    at = F.pmod(F.col("h"), F.lit(bits))
+    bit = (at % 64).cast("int")
+    words = keys.groupBy(F.floor(at / 64).cast("int").alias("bit_at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bit_word"))
+    met = rows.join(F.broadcast(written(words, "bitmap")), F.floor(at / 64).cast("int") == F.col("bit_at"), "left")
+    hit = F.coalesce(F.call_function("shiftrightunsigned", F.col("bit_word"), bit).bitwiseAND(F.lit(1).cast("long")) == 1, F.lit(False))
+    return tuple(met.filter(x).drop("bit_at", "bit_word") for x in (hit, ~hit))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else. lower() does the same, and is faster, where no other character can have a lower case."""
     plain = ~text.rlike("[^\\x00-\\xBF\\xDF-\\xF6\\xF8-\\xFF\\u2010-\\u2040]")

@@ -27,11 +27,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import small, small_batches, written
+from siltstone.llm.common import parted, small_batches, written
 
 WORDS, SEED, BITS = 3, 42, 3
 #: Fingerprints at an anchor beyond which it is split.
 CROWD = 2000
+#: A key of more rows than the rows over this is looked up by broadcast; there are HEAVY of these at most.
+HEAVY = 1000
 #: Shingles counted at a time.
 AT_ONCE = 1 << 16
 
@@ -106,39 +108,58 @@ def links(fps: DataFrame, bits: int = BITS, crowd: int = CROWD) -> DataFrame:
     return cold.union(crowded).distinct()
 
 
+def star(edges: DataFrame) -> DataFrame:
+    """Of edges (u, v): each with m, the smallest v of its u. A hub, a node of more than a thousandth of all edges, would put all
+    of them into one task; there are a thousand at most, so theirs are broadcast."""
+    least = written(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+    total = least.agg(F.sum("n")).first()[0] or 0
+    hubs = F.broadcast(least.filter(F.col("n") * HEAVY > total).drop("n"))
+    return edges.join(hubs, "u").unionByName(edges.join(hubs.select("u"), "u", "left_anti").join(least.drop("n"), "u"))
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """Of pairs (a, b): for each node its root, the smallest node that it reaches. Alternates large and small stars:
     a large star links a node's larger neighbours to its smallest one, a small star its smaller ones; both keep the
     components, and they end when every edge points at a root."""
     edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    digest = lambda df: df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % (1 << 31))).first()
+    before = digest(edges)
     for _ in range(most):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        after = written(small, "edges")
-        if after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty():
-            return after.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        edges = after
+        large = written(star(both).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct(), "large")
+        small = star(large).select(F.inline(F.when(F.col("v") == F.col("m"), F.array(F.struct("u", "v"))).otherwise(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))))
+        edges = written(small.distinct(), "edges")
+        after = digest(edges)
+        if after == before:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        before = after
     raise RuntimeError(f"components have not settled in {most} rounds")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = BITS, crowd: int = CROWD) -> DataFrame:
-    """Per row: doc_id, fp (long) and component_id, the smallest doc_id that is reachable over links."""
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = BITS, crowd: int = CROWD) -> DataFrame:
+    """Per row: doc_id, text_id (xxhash64 of its text), fp (long), component_id, the smallest doc_id that is reachable over
+    links, and first, the doc_id and text_id of the component's first row: by doc_id, null last, then text_id."""
     small_batches(docs.sparkSession)
-    found = written(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), words).alias("fp")), "fingerprints")
-    least = written(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    found = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_id"), fingerprint(F.col(text_col), words).alias("fp"))
+    found = written(found, "fingerprints")
+    order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id"))
+    least = written(found.groupBy("fp").agg(F.min("doc_id").alias("least"), order.alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
     roots = components(links(least.select("fp"), bits, crowd))
-    classes = least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = classes.join(smallest, "root").select("fp", "component_id")
-    # Fingerprints of over a thousandth of the rows are a thousand at most, so they may be broadcast; the others are no skew.
-    rows = found.count()
-    heavy = F.broadcast(found.groupBy("fp").count().filter(F.col("count") * 1000 > rows).select("fp"))
-    of_heavy = F.broadcast(classes.join(heavy, "fp", "left_semi"))
-    return found.join(of_heavy, "fp").unionByName(found.join(heavy, "fp", "left_anti").join(classes, "fp")).select("doc_id", "fp", "component_id")
+    classes = written(least.join(roots, least.fp == roots.node, "left").select("fp", "least", "first", "n", F.coalesce("root", "fp").alias("root")), "classes")
+    # A component of more than a thousandth of all fingerprints is looked up by broadcast, like a fingerprint of as many rows below.
+    smallest = written(classes.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("first"), F.count(F.lit(1)).alias("size")), "smallest")
+    total, rows = classes.count(), classes.agg(F.sum("n")).first()[0] or 0
+    large = F.broadcast(smallest.filter(F.col("size") * HEAVY > total).drop("size"))
+    of = classes.drop("first", "least")
+    of = of.join(large, "root").unionByName(of.join(large.select("root"), "root", "left_anti").join(smallest.drop("size"), "root")).drop("root")
+    heavy = F.broadcast(of.filter(F.col("n") * HEAVY > rows).drop("n"))
+    out = found.join(heavy, "fp").unionByName(found.join(heavy.select("fp"), "fp", "left_anti").join(of.drop("n"), "fp"))
+    return out.select("doc_id", "text_id", "fp", "component_id", "first")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = BITS, crowd: int = CROWD) -> DataFrame:
+    """Per row: doc_id, fp (long) and component_id, the smallest doc_id that is reachable over links."""
+    return grouped(docs, id_col, text_col, words, bits, crowd).select("doc_id", "fp", "component_id")
 
 
 def hexed(fp: Column) -> Column:
@@ -146,7 +167,11 @@ def hexed(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents less all but one of each component: the row with the component's smallest doc_id stays. Rows with
-    a null doc_id stay."""
-    gone = written(near_duplicates(docs).filter("doc_id <> component_id").select("doc_id"), "gone")
-    return docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
+    """The documents less all but one of each component: its first row stays, by doc_id (null last), then by its text's hash.
+    Rows are told apart by doc_id and text, so one id on two texts is two rows, and rows equal to the first one stay."""
+    gone = grouped(docs).filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_id") == F.col("first.text_id"))))
+    gone = written(gone.select(F.col("doc_id").alias("id"), F.col("text_id").alias("of"), F.xxhash64("doc_id", "text_id").alias("h")).distinct(), "gone")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("text").alias("text_id"))
+    maybe, rest = parted(rows.withColumn("h", F.xxhash64("row.doc_id", "text_id")), gone)
+    kept = maybe.join(gone.drop("h").hint("shuffle_hash"), F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("text_id") == F.col("of")), "left_anti")
+    return kept.unionByName(rest).select("row.*")

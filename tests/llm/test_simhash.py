@@ -75,6 +75,21 @@ def test_odd_rows(spark):
     assert simhash.keep_one(df).columns == df.columns and simhash.keep_one(df).count() == 4
 
 
+def test_a_star_of_many_leaves_has_no_hot_key(spark):
+    """Its hub is broadcast: no join's key holds all the edges."""
+    edges = spark.range(1, 100_001).selectExpr("0L AS a", "id AS b")
+    got = simhash.components(edges)
+    assert got.filter("root = 0").count() == 100_000 and got.count() == 100_000
+    both = edges.selectExpr("b AS u", "a AS v").union(edges.selectExpr("a AS u", "b AS v"))
+    assert simhash.star(both).filter("m = least(u, v)  OR u = 0").count() == 200_000
+
+
+def test_one_id_on_two_texts(spark):
+    a, b = " ".join(f"alpha{i} beta" for i in range(50)), " ".join(f"gamma{i} delta" for i in range(50))
+    df = spark.createDataFrame([(1, b), (5, a), (5, b), (None, a), (7, None), (8, "")], "doc_id long, text string")
+    assert sorted(((r.doc_id, r.text) for r in simhash.keep_one(df).collect()), key=str) == sorted([(1, b), (5, a), (7, None)], key=str)
+
+
 def test_query(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text").collect()
     got = sorted((r.doc_id, int(r.fingerprint, 16), r.component_id) for r in queries.op10_simhash(spark, tables).collect())
