@@ -7,7 +7,8 @@ overwrites itself. Digests seen more than once are hits: for these the full text
 byte, and a digest shared by different texts falls apart into its texts.
 
 Scale: the stream aggregates before it shuffles, so a third of all rows under one digest is one row per task; hits are
-grouped by digest and text with the same pre-aggregation. Looking the results up again would be skewed by such groups:
+grouped by digest and text with the same pre-aggregation; a bitmap of a fixed size tells which texts can be hits, so others
+are never shuffled. Looking the results up again would be skewed by such groups:
 those of more than a thousandth of all rows are at most a thousand, and are broadcast; the others are joined by shuffle.
 
 Defined cases: null counts as empty; of rows with equal texts and the same largest doc_id the last one in the scan
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from siltstone.llm.common import ascii_lower, scratch, small, written
+from siltstone.llm.common import ascii_lower, parted, scratch, written
 
 #: Bytes of keys (some 50 a row) in a batch of the stream.
 BATCH = 16 << 30
@@ -52,13 +53,15 @@ def located(docs: DataFrame) -> DataFrame:
 
 
 def is_scan(docs: DataFrame) -> bool:
+    if "_metadata" in docs.columns:  # hides what Spark knows of the files
+        return False
     try:
         docs.select("_metadata.file_path", "_metadata.row_index").schema  # noqa: B018
     except AnalysisException as e:
         if e.getCondition() in ("UNRESOLVED_COLUMN.WITH_SUGGESTION", "UNRESOLVED_COLUMN.WITHOUT_SUGGESTION"):
             return False
         raise
-    return "_metadata" not in docs.columns
+    return True
 
 
 def streamed(keys: DataFrame, path: str, batch: int = BATCH) -> DataFrame:
@@ -90,20 +93,28 @@ def sha(text: Column) -> Column:
 
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: int = BATCH, digest: Callable[[Column], Column] = sha) -> DataFrame:
     """Per row: doc_id, locator, digest (of the normalised text), keep_id, keep_locator and group_size."""
-    rows, on = located(docs), ["digest", "n_bytes"]
+    return of_located(located(docs), id_col, text_col, batch, digest)
+
+
+def of_located(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: int = BATCH, digest: Callable[[Column], Column] = sha) -> DataFrame:
+    """duplicates() of the rows of located()."""
+    on, spark = ["digest", "n_bytes"], rows.sparkSession
     text = normalised(F.col(f"row.`{text_col}`"))
     full = rows.select(F.col(f"row.`{id_col}`").alias("doc_id"), "locator", digest(text).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("content"))
-    path = scratch(docs.sparkSession, "keys")
+    path = scratch(spark, "keys")
     full.drop("content").write.parquet(path)
-    keys = docs.sparkSession.read.schema(full.drop("content").schema).parquet(path)
+    keys = spark.read.schema(full.drop("content").schema).parquet(path)
     groups = written(streamed(keys, path, batch), "groups")
 
-    # Hits: the bytes themselves are the grouping key; the digest alone decides nothing.
-    seen = full.join(small(groups.filter("n > 1").select(on)), on, "left_semi")
+    # Hits: the bytes themselves are the grouping key; the digest alone decides nothing. Texts of no hit stay where they are,
+    # and equal texts of a task become one before any of them is shuffled.
+    hits = groups.filter("n > 1").select(*on, F.xxhash64("digest").alias("h"))
+    seen = parted(full.withColumn("h", F.xxhash64("digest")), hits)[0].drop("h")
     texts = seen.groupBy(*on, "content").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "locator")).alias("last"))
     checked = written(texts.drop("content"), "checked")
     clash = checked.groupBy(on).count().filter("count > 1").select(on)
-    same = groups.filter("n = 1").unionByName(checked).join(clash, on, "left_anti")
+    single = groups.filter("n = 1").unionByName(checked.join(hits.drop("h"), on, "left_semi"))  # checked has false hits of the bitmap, too
+    same = single.join(clash, on, "left_anti")
 
     rows = groups.agg(F.sum("n")).first()[0] or 0
     heavy = F.broadcast(groups.filter(F.col("n") * HEAVY > rows).select(on))
@@ -122,7 +133,8 @@ def kept() -> Column:
 
 def keep_last(docs: DataFrame) -> DataFrame:
     """The documents less those with the text of another that stays."""
-    if not is_scan(docs):
-        docs = written(docs, "documents")
-    gone = duplicates(docs).filter(~kept()).select("locator")
-    return located(docs).join(small(gone), "locator", "left_anti").select("row.*")
+    rows = located(docs)
+    h = F.xxhash64("locator").alias("h")
+    gone = written(of_located(rows).filter(~kept()).select("locator", h), "gone")
+    maybe, rest = parted(rows.select("row", "locator", h), gone)
+    return maybe.join(gone.select("locator").hint("shuffle_hash"), "locator", "left_anti").unionByName(rest.select(maybe.columns)).select("row.*")

@@ -62,3 +62,12 @@ def test_query(spark, tables):
     rows = queries.op3_exact_dedup(spark, tables).collect()
     assert sorted((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in rows) == brute(docs)
     assert all(r.kept == (r.doc_id == r.keep_id) for r in rows)
+
+
+def test_a_column_named_like_the_scan_s_own(spark, tmp_path):
+    rows = [(1, "A", 1), (2, "a", 2), (3, "b", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _metadata int")
+    df.write.parquet(str(tmp_path / "t"))
+    for docs in (df, spark.read.parquet(str(tmp_path / "t"))):
+        assert sorted((r.doc_id, r.keep_id) for r in exact_dedup.duplicates(docs).collect()) == [(1, 2), (2, 2), (3, 3)]
+        assert sorted(tuple(r) for r in exact_dedup.keep_last(docs).collect()) == rows[1:]
