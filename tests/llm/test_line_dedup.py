@@ -27,17 +27,37 @@ ROWS += [(40, None), (41, ""), (42, "\n\n"), (43, "x" * 39 + "É\nlast"), (44, "
 
 def test_small(spark):
     df = spark.createDataFrame([(d, t, 1, "k") for d, t in ROWS], "doc_id long, text string, pos int, keep string")
-    got = sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup.dedup_lines(df).collect())
-    assert got == brute(ROWS)
+    for heavy in (line_dedup.HEAVY, 0, 6):  # all hashes streamed, none, some
+        got = sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup.dedup_lines(df, heavy=heavy).collect())
+        assert got == brute(ROWS)
     assert sum(r[2] > 0 for r in got) >= 9
 
 
 def test_bitmaps(spark):
     keep = {r.doc_id: r.keep for r in line_dedup.bitmaps(spark.createDataFrame(ROWS, "doc_id long, text string")).collect()}
-    assert keep[20][:2] == [-1, -1] and len(keep[20]) == 3
+    assert [x.gap for x in keep[20]] == [2]
     assert 40 not in keep and 43 not in keep
 
 
+def test_the_sorted_ranges_tell_first_occurrences(spark):
+    """The plan: the window reads the sorted range exchange, with no other exchange or sort between them."""
+    df = spark.createDataFrame(ROWS, "doc_id long, text string")
+    at = line_dedup.long_lines(df)
+    plan = line_dedup.streamed(at, 5)._jdf.queryExecution().executedPlan().toString()
+    steps = [x for x in ("Window", "Sort", "Exchange rangepartitioning") if x in plan]
+    assert steps == ["Window", "Sort", "Exchange rangepartitioning"] and plan.index("Window") < plan.index("Sort") < plan.index("Exchange")
+    assert plan.count("Exchange") == 1 and plan.count("Sort ") == 1
+
+
+def test_far_lines_and_whole_longs(spark):
+    line = "a line of forty characters or more, to be sure"
+    rows = [(i, "\n" * (5000 * i) + line + "\n" + "\n".join([line] * (70 * i))) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup.dedup_lines(df).collect())
+    assert got == brute(rows)
+    assert max(len(r.keep) for r in line_dedup.bitmaps(df).collect()) <= 7
+
+
 def test_ties_and_nulls(spark):
     rows = [(9, LINE + "\na")] * 3 + [(None, LINE + "\nb")] * 2 + [(1, LINE)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
