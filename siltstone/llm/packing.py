@@ -1,17 +1,19 @@
 """Best-fit packing of documents into sequences of several permitted lengths.
 
 Documents, measured in words, longer than the longest sequence are cut into full pieces and a rest. Pieces go longest first
-into the open bin that they fill best. If none has room, a bin is opened in the size that costs least for each word that
-it can be expected to hold (its piece and what is still to come, up to its size); a sequence costs its length and a
-fixed part. At the end each bin shrinks to the shortest permitted length that holds its contents.
+into the open bin that they fill best. A sequence costs a fixed part, its length, and its length squared over SQUARE, as
+attention does, so no length is best for all pieces. If no bin has room, one is opened in the size that costs least for each
+word that it can be expected to hold: its piece and those still to come that fit beside it, from a histogram of their sizes. The
+lengths are optimised jointly: each shard is also packed with bins of at least each permitted length, and the cheapest of
+these packings is taken. At the end each bin shrinks to the shortest permitted length that holds its contents.
 
 Scale: pieces, which carry no text, are spread over shards by a hash; a shard has SHARD pieces in expectation and is
 packed in runs of LIMIT at most, so memory is bounded whatever repeats. Bins are the same on any cluster, as shards are
 sorted and no bin spans two.
 
 Defined cases: a null or empty text, or one without words, is a piece of no words and still in a bin; repeated rows are
-packed as often as they are there; a null doc_id stays null in its bin; empty tables give no bins; other columns are
-never read.
+packed as often as they are there; a doc_id may be of any type, and a null one stays null in its bin; empty tables give no
+bins; other columns are never read.
 """
 
 from __future__ import annotations
@@ -25,27 +27,31 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import written
 
-LENGTHS, FIXED = (512, 1024, 2048, 4096, 8192), 64
+LENGTHS, FIXED, SQUARE = (512, 1024, 2048, 4096, 8192), 64, 8192
 SHARD, LIMIT = 20_000, 60_000
 WORDS = "[^\\x20\\x09-\\x0D]+"
-PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("n", pa.int32()), ("at", pa.int32())])
-BIN = "bin_id long, capacity int, used int, pieces array<struct<doc_id: long, piece: int, start: long, n: int, at: int>>"
+BIN = "bin_id long, capacity int, used int, pieces array<struct<doc_id: {}, piece: int, start: long, n: int, at: int>>"
 
 
-def opened(n: int, rest: int, lengths: tuple[int, ...], fixed: int) -> int:
-    """The size of a new bin for a piece of n words with rest words to come: least cost per word that it can hold."""
-    return min((c for c in lengths if c >= n), key=lambda c: ((c + fixed) / max(1, min(c, n + rest)), c))
+def cost(c: int, fixed: int = FIXED) -> float:
+    return fixed + c + c * c / SQUARE
 
 
-def best_fit(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, fixed: int = FIXED) -> tuple[list[list[int]], list[int]]:
-    """Of pieces, none over the longest length: the bins, as lists of positions in sizes, and their lengths."""
-    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    rest, bins, free = sum(sizes), [], {}  # free: from room left to the bins with it; mask has a bit for each such room
+def opened(n: int, rest: np.ndarray, lengths: tuple[int, ...], fixed: int) -> int:
+    """The size of a new bin for a piece of n words: least cost per word that it can hold. rest: words to come by size of their pieces."""
+    return min((c for c in lengths if c >= n), key=lambda c: (cost(c, fixed) / max(1, n + min(c - n, int(rest[: c - n + 1].sum()))), c))
+
+
+def packed(sizes: list[int], order: list[int], lengths: tuple[int, ...], fixed: int, least: int) -> tuple[list[list[int]], list[int]]:
+    """A best-fit packing whose bins are opened in the size of least cost, or if least is given, in the shortest that
+    is no shorter; the bins and their final lengths."""
+    rest = np.bincount(sizes, minlength=max(lengths) + 1) * np.arange(max(max(sizes), max(lengths)) + 1)
+    bins: list[list[int]] = []
+    free: dict[int, list[int]] = {}  # from room left to the bins with it; mask has a bit for each such room
     mask = 0
-    caps: list[int] = []
     for i in order:
         n = sizes[i]
-        rest -= n
+        rest[n] -= n
         above = mask >> n
         if above:
             room = n + (above & -above).bit_length() - 1
@@ -53,20 +59,29 @@ def best_fit(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, fixed: int =
             if not free[room]:
                 mask ^= 1 << room
         else:
-            room, b = opened(n, rest, lengths, fixed), len(bins)
+            room = min(c for c in lengths if c >= max(n, least)) if least else opened(n, rest, lengths, fixed)
+            b = len(bins)
             bins.append([])
-            caps.append(room)
         bins[b].append(i)
         free.setdefault(room - n, []).append(b)
         mask |= 1 << room - n
     return bins, [min(c for c in lengths if c >= sum(sizes[i] for i in b)) for b in bins]
 
 
+def best_fit(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, fixed: int = FIXED) -> tuple[list[list[int]], list[int]]:
+    """Of pieces, none over the longest length: the bins, as lists of positions in sizes, and their lengths."""
+    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    if not sizes:
+        return [], []
+    ways = (packed(sizes, order, lengths, fixed, least) for least in (0, *lengths))
+    return min(ways, key=lambda x: sum(cost(c, fixed) for c in x[1]))
+
+
 def pieces(docs: DataFrame, id_col: str, text_col: str, lengths: tuple[int, ...]) -> DataFrame:
     """doc_id, text_id, piece, start (a word) and n."""
     most = max(lengths)
     n = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("text_id"), n.alias("words"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("text_id"), n.alias("words"))
     cut = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("words") / most).cast("int"), F.lit(1)) - 1)))
     start = F.col("piece").cast("long") * most
     return cut.select("doc_id", "text_id", "piece", start.alias("start"), F.least(F.col("words") - start, F.lit(most)).cast("int").alias("n"))
@@ -85,23 +100,23 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
         at, part = None, 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(held)
-            doc, piece, start, n = (table.column(c).to_pylist() for c in ("doc_id", "piece", "start", "n"))
+            table = pa.Table.from_batches(held).combine_chunks()
+            n = table.column("n").to_pylist()
             bins, caps = best_fit(n, lengths, fixed)
             for k in range(0, len(bins), 2000):
                 some = bins[k : k + 2000]
-                cols = [[], [], [], [], []]
-                ends, used = [0], []
+                rows = table.take(pa.array([i for b in some for i in b], pa.int64()))
+                places, used = [], []
                 for b in some:
                     place = 0
                     for i in b:
-                        for c, v in zip(cols, (doc[i], piece[i], start[i], n[i], place), strict=True):
-                            c.append(v)
+                        places.append(place)
                         place += n[i]
-                    ends.append(len(cols[0]))
                     used.append(place)
-                items = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, PIECE, strict=True)], fields=list(PIECE))
-                ids = np.int64(at << 32) + np.int64(part << 24) + np.arange(k, k + len(some))
+                ends = np.cumsum([0, *map(len, some)])
+                cols = [*(rows.column(c).combine_chunks() for c in ("doc_id", "piece", "start", "n")), pa.array(places, pa.int32())]
+                items = pa.StructArray.from_arrays(cols, ["doc_id", "piece", "start", "n", "at"])
+                ids = np.int64(at << 40) + np.int64(part << 20) + np.arange(k, k + len(some))  # LIMIT bounds a part's bins
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(caps[k : k + 2000], pa.int32()), pa.array(used, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)], ["bin_id", "capacity", "used", "pieces"])
 
         for batch in batches:
@@ -119,4 +134,5 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
         if held:
             yield from out()
 
-    return spread.mapInArrow(run, BIN).select("bin_id", "capacity", "used", F.transform("pieces", lambda x: x["doc_id"]).alias("doc_ids"), "pieces")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return spread.mapInArrow(run, BIN.format(kind)).select("bin_id", "capacity", "used", F.transform("pieces", lambda x: x["doc_id"]).alias("doc_ids"), "pieces")

@@ -1,41 +1,67 @@
 import random
 import re
 
+import pyarrow.parquet as pq
 import pytest
 
 from siltstone.llm import packing, queries
 
 
-def brute(sizes, lengths, fixed):
-    """The same rules with a search through all bins."""
-    bins, rest = [], sum(sizes)
-    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-        rest -= sizes[i]
-        fits = [b for b in bins if b[0] >= sizes[i]]
+def brute(sizes, lengths, fixed, least):
+    """The same rules with a search through all bins and all pieces."""
+    order, bins = sorted(range(len(sizes)), key=lambda i: -sizes[i]), []
+    for k, i in enumerate(order):
+        n = sizes[i]
+        fits = [b for b in bins if b[0] >= n]
         if fits:
             b = min(fits, key=lambda b: (b[0], -b[2]))
         else:
-            c = min((c for c in lengths if c >= sizes[i]), key=lambda c: ((c + fixed) / max(1, min(c, sizes[i] + rest)), c))
+            beside = lambda c: min(c - n, sum(sizes[j] for j in order[k + 1 :] if sizes[j] <= c - n))  # noqa: B023, E731
+            c = min((c for c in lengths if c >= max(n, least)), key=lambda c: (0 if least else packing.cost(c, fixed) / max(1, n + beside(c)), c))  # noqa: B023
             b = [c, [], 0]
             bins.append(b)
-        b[0] -= sizes[i]
+        b[0] -= n
         b[1].append(i)
-        b[2] = i
+        b[2] = k
     return bins
 
 
+def total(caps, fixed):
+    return sum(packing.cost(c, fixed) for c in caps)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_rules(seed):
     rnd = random.Random(seed)
-    sizes = [rnd.choice([0, rnd.randrange(60), rnd.randrange(1, 8)]) for _ in range(400)]
-    bins, caps = packing.best_fit(sizes, (8, 16, 64), 3)
-    assert sorted(i for b in bins for i in b) == list(range(400))
-    used = [sum(sizes[i] for i in b) for b in bins]
-    assert all(c == min(x for x in (8, 16, 64) if x >= u) for c, u in zip(caps, used, strict=True))
-    want = brute(sizes, (8, 16, 64), 3)
-    assert sorted(used) == sorted(sum(sizes[i] for i in b[1]) for b in want)
-    one, only = packing.best_fit(sizes, (64,), 3)
-    assert sum(caps) + 3 * len(bins) <= 1.02 * (sum(only) + 3 * len(one))
+    sizes = [rnd.choice([0, rnd.randrange(60), rnd.randrange(1, 8)]) for _ in range(300)]
+    lengths, costs = (8, 16, 64), []
+    order = sorted(range(300), key=lambda i: -sizes[i])
+    for least in (0, *lengths):
+        bins, caps = packing.packed(sizes, order, lengths, 3, least)
+        assert sorted(i for b in bins for i in b) == list(range(300))
+        used = [sum(sizes[i] for i in b) for b in bins]
+        assert all(c == min(x for x in lengths if x >= u) for c, u in zip(caps, used, strict=True))
+        assert sorted(used) == sorted(sum(sizes[i] for i in b[1]) for b in brute(sizes, lengths, 3, least))
+        costs.append(total(caps, 3))
+    assert total(packing.best_fit(sizes, lengths, 3)[1], 3) == min(costs)
+    assert packing.best_fit([], lengths) == ([], [])
+
+
+def test_real_sizes():
+    """Several lengths are opened, and no single one, or one as the least, is cheaper."""
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).to_pylist()
+    words = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+    sizes = [min(8192, n - s) for n in words for s in range(0, max(n, 1), 8192)]
+    bins, caps = packing.best_fit(sizes)
+    assert len(set(caps)) >= 4 and sum(sizes) / sum(caps) > 0.9
+    one = packing.best_fit(sizes, (8192,))[1]
+    assert total(caps, packing.FIXED) < 0.9 * total(one, packing.FIXED)
+
+
+def test_ids_of_text(spark):
+    df = spark.createDataFrame([(f"d{i}", "w " * i) for i in range(40)] + [(None, "a")], "doc_id string, text string")
+    got = packing.pack(df, lengths=(8, 64), shard=1000, limit=10).collect()
+    assert {d for b in got for d in b.doc_ids} == {None, *(f"d{i}" for i in range(40))} and len({b.bin_id for b in got}) == len(got)
 
 
 def test_rows(spark):
