@@ -3,7 +3,8 @@
 Base spans are matches of four expressions that pass a check (parts of an address, Luhn's sum, number of digits). They are
 the seeds. Every seed and every other identifier-like token is a mention with a context, the words before it; contexts
 and values form a graph. In each round a context's confidence is the mean confidence of its values (less one for
-doubt), a value's is that of its best context that has enough different seeds; after ROUNDS, values that a
+doubt), a value's is that of its best context that has enough different values of high confidence, seeds or found in
+earlier rounds; after ROUNDS, values that a
 high-confidence context holds, and that have the form of the kind, are personal data wherever they occur. Base spans
 always stay, and what overlaps them is dropped.
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import small, written
+from siltstone.llm.common import parted, small, written
 
 KINDS = ["email", "ip", "card", "phone"]
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -34,6 +35,7 @@ PATTERNS = {
 OTHER = "(?:\\G|(?<![^\\s\"'(<=:#]))(?:[^\\s@\"'<>,;=:#]++@[^\\s@\"'<>,;]++|[(+]{0,2}[0-9](?:[ ().:-]{0,2}[0-9])++)"
 #: Different seeds that a context needs, the confidence that it needs, and rounds over the graph.
 SUPPORT, CONFIDENCE, ROUNDS = 3, 0.6, 3
+HEAVY = 1000
 #: Characters before a mention that its context is taken from.
 REACH = 64
 SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
@@ -137,14 +139,17 @@ def discovered(scan: DataFrame, support: int = SUPPORT, confidence: float = CONF
     sure = edges.filter("kind >= 0").groupBy("value").agg(F.max("kind").alias("kind")).select("value", "kind", F.lit(1.0).alias("confidence"), F.lit(True).alias("seed"))
     if sure.isEmpty():
         return sure.drop("seed")
-    links, known = edges.select("context", "value"), sure
+    links, known, total = edges.select("context", "value"), sure, edges.count()
     for _ in range(rounds):
         of = links.join(known, "value", "left")
         size = of.groupBy("context").agg(F.count(F.lit(1)).alias("n"))
-        per = of.filter(F.col("kind").isNotNull()).groupBy("context", "kind").agg(F.sum("confidence").alias("sum"), F.count(F.when(F.col("seed"), 1)).alias("seeds"))
+        per = of.filter(F.col("kind").isNotNull()).groupBy("context", "kind").agg(F.sum("confidence").alias("sum"), F.count(F.when(F.col("confidence") >= confidence, 1)).alias("seeds"))
         per = per.filter(F.col("seeds") >= support).join(size, "context").withColumn("confidence", F.col("sum") / (F.col("n") + 1))
-        best = per.filter(F.col("confidence") >= confidence).groupBy("context").agg(F.max(F.struct("confidence", "kind")).alias("b")).select("context", "b.confidence", "b.kind")
-        found = links.join(best, "context").filter(formed(F.col("kind"), F.col("value"))).groupBy("value").agg(F.max(F.struct("confidence", "kind")).alias("b"))
+        best = per.filter(F.col("confidence") >= confidence).groupBy("context").agg(F.max(F.struct("confidence", "kind")).alias("b"), F.max("n").alias("n")).select("context", "b.confidence", "b.kind", "n")
+        best = written(best, "best")
+        # A context of more than a thousandth of all links is a hot key; there are a thousand at most, so they are broadcast.
+        hot, of = F.broadcast(best.filter(F.col("n") * HEAVY > total).drop("n")), best.drop("n")
+        found = links.join(hot, "context").unionByName(links.join(hot.select("context"), "context", "left_anti").join(of, "context")).filter(formed(F.col("kind"), F.col("value"))).groupBy("value").agg(F.max(F.struct("confidence", "kind")).alias("b"))
         new = found.join(sure, "value", "left_anti").select("value", "b.kind", "b.confidence", F.lit(False).alias("seed"))
         known = written(sure.unionByName(new), "known")
     return known.filter("not seed").drop("seed")
@@ -187,9 +192,10 @@ def masked(text: Column, spans: Column) -> Column:
 def mask_documents(docs: DataFrame) -> DataFrame:
     """The documents with personal data masked in text; null texts stay null. Only rows with spans are looked up."""
     spans = find(docs).filter(F.size("spans") > 0).select(F.col("doc_id").alias("id"), F.col("text_id").alias("of"), "spans").distinct()
-    spans = written(spans, "spans")
-    n = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
+    spans = written(spans.withColumn("h", F.xxhash64("id", "of")), "spans")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_id"))
-    both = rows.join(F.broadcast(spans) if n <= 500_000 else spans, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("text_id") == F.col("of")), "left")
+    maybe, rest = parted(rows.withColumn("h", F.xxhash64("row.doc_id", "text_id")), spans)
+    both = maybe.join(spans.drop("h").hint("shuffle_hash"), F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("text_id") == F.col("of")), "left")
+    both = both.unionByName(rest, allowMissingColumns=True)
     text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(masked(F.col("row.text"), F.col("spans")))
     return both.select(*[text.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
