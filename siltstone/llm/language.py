@@ -5,8 +5,8 @@ the other ASCII as one each) with an embedding. Filters of widths 2, 3 and 4 run
 filter's maximum over the window goes through a rectifier into a softmax over the languages. A text is all its windows,
 its score the mean of their softmax, weighted by their length.
 
-Training is on the driver, on a bounded sample of labelled rows: PER_LANGUAGE rows of each language in expectation and
-ROWS at most, chosen by a hash of the id, of which WINDOWS windows each are read. Only rows that are not held out are
+Training is on the driver, on a bounded sample of labelled rows: PER_LANGUAGE rows of each language in expectation, or an equal
+share of ROWS where there are more languages than these allow, and twice ROWS at most, chosen by a hash of the id, of which WINDOWS windows each are read. Only rows that are not held out are
 seen. The network itself (some 100 kB) goes to the workers, which apply it to batches of windows. In applying, a filter
 of width w is a sum of looked-up rows, one for each pair of byte classes, which is the same product as with the embedding.
 
@@ -169,11 +169,12 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = ROWS)
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rows // 8).collect()
     if not counts:
         return []
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, per_language / r["count"]))])
+    each = min(per_language, rows // len(counts))
+    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, each / r["count"]))])
     draw = lambda salt: F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(1 << 30)) / (1 << 30)
     at = lambda i: F.substring("text", (F.floor(draw(i) * F.greatest(F.length("text") - WINDOW, F.lit(0))) + 1).cast("int"), WINDOW)
-    taken = known.filter(draw("row") < F.element_at(share, F.col("lang"))).select("lang", *[at(f"window {i}").alias(f"w{i}") for i in range(WINDOWS)])
-    found = taken.limit(rows).collect()
+    taken = known.filter(draw("row") < F.element_at(share, F.col("lang"))).select("lang", draw("row").alias("draw"), *[at(f"window {i}").alias(f"w{i}") for i in range(WINDOWS)])
+    found = taken.orderBy("draw", "w0").limit(2 * rows).collect()  # by hash, so where a language is stored plays no part
     return sorted((r[f"w{i}"], r["lang"]) for r in found for i in range(WINDOWS) if LETTER.search(r[f"w{i}"]))
 
 
@@ -222,7 +223,7 @@ def predicted(text: Column, net: Network | None) -> Column:
             found = model.predict(texts.to_pylist())
             yield pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["lang_pred", "score"])
 
-    return run(text)
+    return run.asNondeterministic()(text)  # else a filter on the result would run it twice
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
@@ -238,7 +239,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents whose language was found: those that are `und` go."""
+    """The documents whose language was found: those that are `und` go, and a null lang gives way to the one found."""
     small_batches(docs.sparkSession)
-    found = predicted(F.col("text"), fit(docs))["lang_pred"]
-    return docs.filter(found != UNKNOWN)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), predicted(F.col("text"), fit(docs))["lang_pred"].alias("found"))
+    lang = F.coalesce("row.lang", "found").alias("lang")
+    return rows.filter(F.col("found") != UNKNOWN).select(*[lang if c == "lang" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

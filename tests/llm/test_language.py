@@ -60,3 +60,40 @@ def test_labels_of_held_out_rows_are_not_seen(spark):
     rows = [(i, texts(rnd, "aa"), "zz" if held(i) else "aa") for i in range(80)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert {lang for _, lang in language.sample(df)} == {"aa"}
+
+
+def test_query_equals_a_plain_forward_pass(spark, tables):
+    """Filters as dot products with the embedded windows, one place after another."""
+    import unicodedata
+
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    net = language.fit(docs)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in queries.op6_language(spark, tables).collect()}
+    for r in docs.limit(25).collect():
+        if not r.text or not any(c.isalpha() for c in r.text):
+            assert got[r.doc_id] == ("und", 0.0)
+            continue
+        raw = unicodedata.normalize("NFC", r.text).encode("utf-8", "replace")
+        total = np.zeros(len(net.labels))
+        for at in range(0, len(raw), language.WINDOW):
+            piece = raw[at : at + language.WINDOW]
+            x = net.embedding[[*language.CLASSES[list(piece)], *[0] * (language.WINDOW - len(piece))]]
+            pooled = [max(float((x[i : i + w] * f[:, :, k]).sum()) for i in range(language.WINDOW - w + 1)) for w, f in zip(language.WIDTHS, net.filters, strict=True) for k in range(language.FILTERS)]
+            z = np.maximum(np.array(pooled) + net.bias, 0) @ net.dense + net.offset
+            total += len(piece) * np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        lang, score = got[r.doc_id]
+        assert lang == net.labels[int(total.argmax())] and abs(score - total.max() / total.sum()) < 1e-3
+
+
+def test_the_sample_does_not_depend_on_where_rows_are_stored(spark):
+    rows = [(i, f"text of language {i % 30} number {i} " * 3, f"l{i % 30}") for i in range(3000)]
+    kind = "doc_id long, text string, lang string"
+    a, b = (language.sample(spark.createDataFrame(x, kind).repartition(n), per_language=40, rows=600) for x, n in ((rows, 3), (rows[::-1], 7)))
+    assert a == b and {y for _, y in a} == {f"l{k}" for k in range(30)} and len(a) <= 2 * 2 * 600
+
+
+def test_missing_languages_are_filled(spark):
+    en, de = "the house and the garden are on the hill ", "das haus und der garten sind auf dem berg "
+    rows = [(i, (en if i % 2 else de) * 5, "en" if i % 2 else "de") for i in range(80)] + [(900, en * 3, None), (901, de * 3, None), (902, "12 34", None), (903, None, "en")]
+    out = {r.doc_id: r.lang for r in language.keep_identified(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert (out[900], out[901]) == ("en", "de") and 902 not in out and 903 not in out and len(out) == 82
