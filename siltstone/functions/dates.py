@@ -39,6 +39,20 @@ def shift(ts: Column, n: float, unit: str) -> Column:
     return F.timestamp_micros(F.unix_micros(ts) + F.lit(micros).cast("long"))
 
 
+def instant(x: Column, *modifiers: str) -> tuple[Column, list[str]]:
+    """A time value and the modifiers that are left: a first modifier of unixepoch, julianday or auto says what a number is."""
+    how = modifiers[0].strip().lower() if modifiers else ""
+    n = x.try_cast("double")
+    if how == "unixepoch":
+        return from_unix(n), list(modifiers[1:])
+    if how == "julianday":
+        return from_julian(n), list(modifiers[1:])
+    if how == "auto":
+        guess = F.when(n.between(0, 5373484.499999), from_julian(n)).when(n.isNotNull(), from_unix(n)).otherwise(parse(x))
+        return guess, list(modifiers[1:])
+    return parse(x), list(modifiers)
+
+
 def modify(ts: Column, *modifiers: str) -> Column:
     ts = ts.cast("timestamp")
     for m in modifiers:

@@ -29,8 +29,8 @@ def add(a: Column, b: Column) -> Column:
 
 def int_div(a: Column, b: Column) -> Column:
     """Integer quotient towards zero; NULL by zero."""
-    safe = F.when(b != 0, b)
-    return ((a - F.try_mod(a, safe)) / safe).cast("long")
+    a, safe = a.cast("long"), F.when(b != 0, b.cast("long"))
+    return F.when(safe == -1, F.try_subtract(F.lit(0).cast("long"), a)).otherwise(F.call_function("div", a, safe))
 
 
 def mod(a: Column, b: Column) -> Column:
@@ -173,6 +173,12 @@ def unicode_(x: Column) -> Column:
     return F.when(x != "", F.ascii(x))
 
 
+def unistr(text: str) -> str:
+    """Escapes of code points: 4 hex digits after a backslash, or u and 4, + and 6, U and 8; a doubled backslash is one."""
+    code = lambda m: "\\" if m[0] == "\\\\" else chr(int(m[1] or m[2] or m[3] or m[4], 16))
+    return re.sub(r"\\\\|\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|\+([0-9A-Fa-f]{6})|([0-9A-Fa-f]{4}))", code, text)
+
+
 def zeroblob(n: Column | int) -> Column:
     return F.unhex(F.repeat(F.lit("00"), lit(n).cast("int")))
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("relational", "scalars", "advanced", "search", "store", "streams")
+MODULES = ("relational", "scalars", "advanced", "search", "store", "streams", "sql")
 
 
 def load() -> None:

@@ -40,8 +40,7 @@ of("math_log_pow", "part", "p_partkey", "SELECT p_partkey, round(ln(p_retailpric
 of("math_round_sign", "customer", "c_custkey", "SELECT c_custkey, round(c_acctbal, 1) AS r, CAST(sign(c_acctbal) AS INTEGER) AS s, abs(c_acctbal) AS a, trunc(c_acctbal) AS t, CAST(ceil(c_acctbal) AS BIGINT) AS ce, CAST(floor(c_acctbal) AS BIGINT) AS fl FROM customer", lambda: dict(r=X.round_(c("c_acctbal"), 1), s=X.sign(c("c_acctbal")), a=F.abs("c_acctbal"), t=X.trunc(c("c_acctbal")), ce=F.ceil("c_acctbal"), fl=F.floor("c_acctbal")))
 of("cond_iif_coalesce", "customer", "c_custkey", "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN 'pos' ELSE 'neg' END AS i, coalesce(nullif(c_nationkey, 3), -1) AS n, ifnull(nullif(c_mktsegment, 'BUILDING'), '?') AS f, CASE WHEN nullif(c_nationkey, 3) IS NULL THEN 'null' ELSE 'integer' END AS t FROM customer", lambda: dict(i=X.iif(c("c_acctbal") > 0, "pos", "neg"), n=F.coalesce(F.nullif(c("c_nationkey"), F.lit(3)), F.lit(-1)), f=F.ifnull(F.nullif(c("c_mktsegment"), F.lit("BUILDING")), F.lit("?")), t=X.typeof(F.nullif(c("c_nationkey"), F.lit(3)), "int")))
 of("scalar_minmax_null", "customer", "c_custkey", "SELECT c_custkey, CASE WHEN nullif(c_nationkey, 3) IS NOT NULL THEN greatest(c_nationkey, 10) END AS hi, CASE WHEN nullif(c_nationkey, 3) IS NOT NULL THEN least(c_nationkey, 10) END AS lo FROM customer", lambda: dict(hi=X.scalar_max(F.nullif(c("c_nationkey"), F.lit(3)), F.lit(10)), lo=X.scalar_min(F.nullif(c("c_nationkey"), F.lit(3)), F.lit(10))))
-of("collate_nocase", "documents", "doc_id", f"SELECT doc_id, {LOW.format('left(text, 12)')} = {LOW.format('upper(left(text, 12))')} AS same, {LOW.format('left(text, 5)')} AS k FROM documents", lambda: dict(same=X.nocase(F.substring("text", 1, 12)) == X.nocase(F.upper(F.substring("text", 1, 12))), k=X.nocase(F.substring("text", 1, 5))))
-of("collate_nocase_whole", "documents", "doc_id", None, lambda: dict(same=X.nocase(c("text")) == X.nocase(F.upper("text")), k=X.nocase(c("text"))))
+of("collate_nocase", "documents", "doc_id", None, lambda: dict(same=X.nocase(c("text")) == X.nocase(F.upper("text")), k=X.nocase(c("text"))))
 of("collate_rtrim", "nation", "n_nationkey", "SELECT n_nationkey, true AS same, rtrim(n_name || '  ') AS k FROM nation", lambda: dict(same=X.rtrim_key(F.concat(c("n_name"), F.lit("  "))) == X.rtrim_key(c("n_name")), k=X.rtrim_key(F.concat(c("n_name"), F.lit("  ")))))
 of("date_parts", "orders", "o_orderkey", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d, strftime(o_orderdate, '%H:%M:%S') AS t, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS dt FROM orders", lambda: dict(d=D.date(c("o_orderdate")), t=D.time(c("o_orderdate")), dt=D.datetime(c("o_orderdate"))))
 of("date_modifiers", "orders", "o_orderkey", "SELECT o_orderkey, strftime(date_trunc('month', o_orderdate) + INTERVAL 10 DAY, '%Y-%m-%d') AS a, strftime(o_orderdate - INTERVAL 36 HOUR, '%Y-%m-%d %H:%M:%S') AS b, strftime(date_trunc('year', o_orderdate), '%Y-%m-%d') AS y, strftime(o_orderdate + to_days(CAST((7 - dayofweek(o_orderdate)) % 7 AS INTEGER)), '%Y-%m-%d') AS sunday FROM orders", lambda: dict(a=D.date(c("o_orderdate"), "start of month", "+10 days"), b=D.datetime(c("o_orderdate"), "-36 hours"), y=D.date(c("o_orderdate"), "start of year"), sunday=D.date(c("o_orderdate"), "weekday 0")))

@@ -44,14 +44,8 @@ def fts_postings(spark: SparkSession, d: str) -> DataFrame:
     return p.filter("uses > 50")
 
 
-@query("fts_highlight", "SELECT doc_id, regexp_replace(left(text, 200), '\\b(the|und)\\b', '<b>\\1</b>', 'gi') AS h FROM documents WHERE lang = 'en' AND regexp_matches(text, '^[\\x00-\\x7F]*$')")
+@query("fts_highlight")
 def fts_highlight(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").filter("lang = 'en'").filter(F.col("text").rlike("^[\\x00-\\x7F]*$"))
-    return docs.select("doc_id", T.highlight(F.substring("text", 1, 200), ["the", "und"], "<b>", "</b>").alias("h"))
-
-
-@query("fts_highlight_whole")
-def fts_highlight_whole(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.highlight(F.col("text"), ["the", "und"], "<b>", "</b>").alias("h"))
 
 

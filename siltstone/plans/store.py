@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.plans.registry import Query, query
+from siltstone.plans.registry import query
 from siltstone.sources import store as S
 from siltstone.sources.tables import scratch, table
 
@@ -17,18 +15,6 @@ SEG = "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer"
 OLD, NEW = "c_custkey % 120 < 100", "c_custkey % 120 >= 50"
 
 
-def stated(name: str, bound: str, sql: str, whole: str) -> Callable[[Query], Query]:
-    """Registers statements twice: with the whole state that they leave (name_whole), and with the part of it in bound,
-    which is what sql states. The statements themselves run over the whole table either way."""
-
-    def add(f: Query) -> Query:
-        query(f"{name}_whole", whole)(f)
-        query(name, sql)(lambda spark, d: f(spark, d).filter(bound))
-        return f
-
-    return add
-
-
 def made(spark: SparkSession, d: str, part: str = "true", **rules) -> S.Store:
     """A store with the customers, or a part of them, keyed."""
     store = S.Store(spark, scratch(spark, "store"))
@@ -47,33 +33,21 @@ def rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
 
 
-@stated(
-    "dml_insert_select", "c_custkey < 150",
-    f"{SEG} WHERE c_custkey < 150",
-    SEG,
-)
+@query("dml_insert_select", SEG)
 def dml_insert_select(spark: SparkSession, d: str) -> DataFrame:
     s = made(spark, d, "c_mktsegment = 'BUILDING'")
     s.insert("t", rows(spark, d).filter("NOT c_mktsegment <=> 'BUILDING'"))
     return s.read("t")
 
 
-@stated(
-    "dml_update", "c_custkey < 100",
-    "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'DEBT' ELSE c_mktsegment END AS c_mktsegment, c_acctbal FROM customer WHERE c_custkey < 100",
-    "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'DEBT' ELSE c_mktsegment END AS c_mktsegment, c_acctbal FROM customer",
-)
+@query("dml_update", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'DEBT' ELSE c_mktsegment END AS c_mktsegment, c_acctbal FROM customer")
 def dml_update(spark: SparkSession, d: str) -> DataFrame:
     s = made(spark, d)
     s.update("t", {"c_mktsegment": F.lit("DEBT")}, c("c_acctbal") < 0)
     return s.read("t")
 
 
-@stated(
-    "dml_update_from", "c_custkey < 100",
-    "SELECT c_custkey, c_mktsegment, coalesce(t, c_acctbal) AS c_acctbal FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS t FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE c_custkey < 100",
-    "SELECT c_custkey, c_mktsegment, coalesce(t, c_acctbal) AS c_acctbal FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS t FROM orders GROUP BY 1) ON o_custkey = c_custkey",
-)
+@query("dml_update_from", "SELECT c_custkey, c_mktsegment, coalesce(t, c_acctbal) AS c_acctbal FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS t FROM orders GROUP BY 1) ON o_custkey = c_custkey")
 def dml_update_from(spark: SparkSession, d: str) -> DataFrame:
     s = made(spark, d)
     best = table(spark, d, "orders").groupBy(c("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("t"))
@@ -81,73 +55,45 @@ def dml_update_from(spark: SparkSession, d: str) -> DataFrame:
     return s.read("t")
 
 
-@stated(
-    "dml_delete", "c_custkey < 100",
-    f"{SEG} WHERE c_custkey < 100 AND NOT c_mktsegment = 'BUILDING'",
-    f"{SEG} WHERE NOT c_mktsegment = 'BUILDING'",
-)
+@query("dml_delete", f"{SEG} WHERE NOT c_mktsegment = 'BUILDING'")
 def dml_delete(spark: SparkSession, d: str) -> DataFrame:
     s = made(spark, d)
     s.delete("t", c("c_mktsegment") == "BUILDING")
     return s.read("t")
 
 
-@stated(
-    "dml_upsert", "c_custkey < 120",
-    "SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey BETWEEN 50 AND 99 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey < 120",
-    "SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey % 120 BETWEEN 50 AND 99 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer",
-)
+@query("dml_upsert", "SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey % 120 BETWEEN 50 AND 99 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer")
 def dml_upsert(spark: SparkSession, d: str) -> DataFrame:
     s = made(spark, d, OLD)
     s.insert("t", rows(spark, d).filter(NEW), "update", {"c_acctbal": c("excluded.c_acctbal") + 1})
     return s.read("t")
 
 
-@stated(
-    "dml_or_ignore", "c_custkey < 120",
-    f"{SEG} WHERE c_custkey < 120",
-    SEG,
-)
+@query("dml_or_ignore", SEG)
 def dml_or_ignore(spark: SparkSession, d: str) -> DataFrame:
     s = made(spark, d, OLD)
     s.insert("t", rows(spark, d).filter(NEW).withColumn("c_acctbal", F.when(F.expr(OLD), 0.0).otherwise(c("c_acctbal"))), "ignore")
     return s.read("t")
 
 
-@stated(
-    "dml_or_replace", "c_custkey < 120",
-    "SELECT c_custkey, CASE WHEN c_custkey >= 50 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment, c_acctbal FROM customer WHERE c_custkey < 120",
-    "SELECT c_custkey, CASE WHEN c_custkey % 120 >= 50 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment, c_acctbal FROM customer",
-)
+@query("dml_or_replace", "SELECT c_custkey, CASE WHEN c_custkey % 120 >= 50 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment, c_acctbal FROM customer")
 def dml_or_replace(spark: SparkSession, d: str) -> DataFrame:
     s = made(spark, d, OLD)
     s.insert("t", rows(spark, d).filter(NEW).withColumn("c_mktsegment", F.lit("NEW")), "replace")
     return s.read("t")
 
 
-@stated(
-    "dml_returning", "c_custkey < 100",
-    f"{SEG} WHERE c_custkey < 100 AND c_acctbal < 1000",
-    f"{SEG} WHERE c_acctbal < 1000",
-)
+@query("dml_returning", f"{SEG} WHERE c_acctbal < 1000")
 def dml_returning(spark: SparkSession, d: str) -> DataFrame:
     return kept(spark, made(spark, d).delete("t", c("c_acctbal") < 1000))
 
 
-@stated(
-    "generated_column", "c_custkey < 100",
-    "SELECT c_custkey, c_mktsegment, c_acctbal, c_acctbal * 2 AS twice FROM customer WHERE c_custkey < 100",
-    "SELECT c_custkey, c_mktsegment, c_acctbal, c_acctbal * 2 AS twice FROM customer",
-)
+@query("generated_column", "SELECT c_custkey, c_mktsegment, c_acctbal, c_acctbal * 2 AS twice FROM customer")
 def generated_column(spark: SparkSession, d: str) -> DataFrame:
     return made(spark, d, generated={"twice": "c_acctbal * 2"}).read("t")
 
 
-@stated(
-    "time_travel", "c_custkey < 100",
-    f"{SEG} WHERE c_custkey < 100",
-    SEG,
-)
+@query("time_travel", SEG)
 def time_travel(spark: SparkSession, d: str) -> DataFrame:
     s = made(spark, d)
     s.delete("t", c("c_mktsegment") == "BUILDING")
@@ -155,11 +101,7 @@ def time_travel(spark: SparkSession, d: str) -> DataFrame:
     return s.read("t", version=1)
 
 
-@stated(
-    "transaction_rollback", "c_custkey < 100",
-    f"{SEG} WHERE c_custkey < 100",
-    SEG,
-)
+@query("transaction_rollback", SEG)
 def transaction_rollback(spark: SparkSession, d: str) -> DataFrame:
     s = made(spark, d)
     t = s.transaction()
@@ -168,11 +110,7 @@ def transaction_rollback(spark: SparkSession, d: str) -> DataFrame:
     return s.read("t")
 
 
-@stated(
-    "alter_table", "id < 100",
-    "SELECT c_custkey AS id, c_acctbal, 7 AS extra FROM customer WHERE c_custkey < 100",
-    "SELECT c_custkey AS id, c_acctbal, 7 AS extra FROM customer",
-)
+@query("alter_table", "SELECT c_custkey AS id, c_acctbal, 7 AS extra FROM customer")
 def alter_table(spark: SparkSession, d: str) -> DataFrame:
     s = made(spark, d)
     s.alter("t", add={"extra": F.lit(7)}, drop=["c_mktsegment"], rename={"c_custkey": "id"})
@@ -201,30 +139,18 @@ def changed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return a, b
 
 
-@stated(
-    "changeset_diff", "c_custkey < 130",
-    "SELECT c_custkey, CASE WHEN c_custkey < 20 THEN 'delete' WHEN c_custkey >= 100 THEN 'insert' ELSE 'update' END AS op FROM customer WHERE c_custkey < 130 AND (c_custkey < 20 OR c_custkey >= 100 OR (c_custkey % 7 = 0 AND c_acctbal <> 0))",
-    "SELECT c_custkey, CASE WHEN c_custkey % 130 < 20 THEN 'delete' WHEN c_custkey % 130 >= 100 THEN 'insert' ELSE 'update' END AS op FROM customer WHERE c_custkey % 130 < 20 OR c_custkey % 130 >= 100 OR (c_custkey % 7 = 0 AND c_acctbal <> 0)",
-)
+@query("changeset_diff", "SELECT c_custkey, CASE WHEN c_custkey % 130 < 20 THEN 'delete' WHEN c_custkey % 130 >= 100 THEN 'insert' ELSE 'update' END AS op FROM customer WHERE c_custkey % 130 < 20 OR c_custkey % 130 >= 100 OR (c_custkey % 7 = 0 AND c_acctbal <> 0)")
 def changeset_diff(spark: SparkSession, d: str) -> DataFrame:
     return kept(spark, S.diff(*changed(spark, d), ["c_custkey"]).select("c_custkey", "op"))
 
 
-@stated(
-    "changeset_apply", "c_custkey < 130",
-    "SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey % 7 = 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey >= 20 AND c_custkey < 130",
-    "SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey % 7 = 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 130 >= 20",
-)
+@query("changeset_apply", "SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey % 7 = 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 130 >= 20")
 def changeset_apply(spark: SparkSession, d: str) -> DataFrame:
     a, b = changed(spark, d)
     return kept(spark, S.apply(a, S.diff(a, b, ["c_custkey"]), ["c_custkey"], "abort")[0])
 
 
-@stated(
-    "changeset_invert", "c_custkey < 100",
-    f"{SEG} WHERE c_custkey < 100",
-    f"{SEG} WHERE c_custkey % 130 < 100",
-)
+@query("changeset_invert", f"{SEG} WHERE c_custkey % 130 < 100")
 def changeset_invert(spark: SparkSession, d: str) -> DataFrame:
     a, b = changed(spark, d)
     return kept(spark, S.apply(b, S.invert(S.diff(a, b, ["c_custkey"])), ["c_custkey"], "abort")[0])
