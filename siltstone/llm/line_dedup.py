@@ -41,7 +41,8 @@ def hashes(k: Column) -> list[Column]:
 
 def long_lines(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Where lines with a long key stand: doc_id, text_id, row (a number for each row of docs), pos from 0, h1 and h2."""
-    at = docs.select("doc_id", F.xxhash64("text").alias("text_id"), F.monotonically_increasing_id().alias("row"), F.posexplode(lines(F.col("text"))).alias("pos", "line"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_id"), F.monotonically_increasing_id().alias("row"))
+    at = rows.select("doc_id", "text_id", "row", F.posexplode(lines(F.col("text"))).alias("pos", "line"))
     at = at.withColumn("line", F.btrim("line", F.lit(ENDS))).filter(F.length("line") >= length)
     return at.select("doc_id", "text_id", "row", "pos", *hashes(ascii_lower(F.col("line"))))
 

@@ -70,3 +70,11 @@ def test_query(spark, tables):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{tables}/documents.parquet").collect()]
     rows = sorted(tuple(r) for r in queries.op5_line_dedup(spark, tables).collect())
     assert rows == [(*r[:3], hashlib.sha256(r[3].encode()).hexdigest()) for r in brute(docs)]
+
+
+def test_a_line_twice_in_a_document_counts_once(spark):
+    line = "a line of forty characters or more, to be sure"
+    rows = [(i, "\n".join([line] * 3)) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for heavy in (line_dedup.HEAVY, 0):
+        assert {r.n_dropped for r in line_dedup.dedup_lines(df, heavy=heavy).collect()} == {0}
