@@ -8,8 +8,9 @@ need be a seed. Counts of words and pairs cover every document. The walks restar
 of a document, the sums of its words' positive and negative polarities and the largest, go through a logistic curve that
 is fitted on the same labelled sample.
 
-Scale: counts are aggregated in each task before they are shuffled, and pairs travel as two hashes of 64 bits. What is
-sent to the workers is bounded: words of more than a share COMMON of the documents are at most the words of a document over
+Scale: counts are aggregated in each task before they are shuffled. Pairs travel as hashes of 64 bits, all those of a task with
+the same lesser hash in one row; those of a word of more than HUB documents are spread over 64 tasks. Shuffle files are dropped
+as soon as the table that needed them is written. What is sent to the workers is bounded: words of more than a share COMMON of the documents are at most the words of a document over
 that share; rare words are told by a bitmap of BITS bits, in which a false hit costs a row of the shuffle and changes nothing, as
 the graph is joined with exact counts. Seeds stand in LABELLED documents, and as a side's shares add up to one, words of
 a polarity of LEAST are some sixteen times the seeds at most: that bounds the lexicon without a cap.
@@ -33,7 +34,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import held_out, small_batches, written
+from siltstone.llm.common import held_out, small_batches
+from siltstone.llm.common import written as kept
 
 SPAN, FEW, COMMON = 1, 5, 0.05
 LABELLED = 40_000
@@ -42,6 +44,8 @@ LABELLED = 40_000
 SURE, MOSTLY = 4.5, 0.6
 #: Bits of the map of words that aren't rare.
 BITS = 1 << 24
+#: Documents beyond which the pairs of a word are too many for one task.
+HUB = 1_000_000
 #: Pairs seen less often say nothing; chance that a step of a walk goes back to its seeds; steps.
 PAIRS, RESTART, STEPS = 3, 0.3, 4
 #: Polarities below this are left out.
@@ -49,9 +53,22 @@ LEAST = 0.3
 THRESHOLD = 0.3
 #: Entries of counts that a worker holds before it passes them on.
 HELD = 200_000
+#: Drops the shuffle files of a query as it ends; else they stay until the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD = re.compile(r"[^\W\d_]+")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, of which no shuffle file is left."""
+    conf = df.sparkSession.conf
+    was = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        return kept(df, name)
+    finally:
+        conf.set(CLEANUP, was)
+
+
 def terms(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
@@ -133,8 +150,8 @@ class Pairs:
     """Counts of pairs of words within SPAN of each other, of the texts since the last rows(). A pair is a number made of the
     places of its words in `hashes`; what is pending is sorted and merged into the counts now and then."""
 
-    def __init__(self, rare: np.ndarray, common: frozenset[str]) -> None:
-        self.rare, self.common = rare, common
+    def __init__(self, rare: np.ndarray, common: frozenset[str], hubs: np.ndarray) -> None:
+        self.rare, self.common, self.hubs = rare, common, hubs
         self.words: dict[str, int] = {}
         self.hashes: list[int] = []
         self.pending: list[np.ndarray] = []
@@ -177,25 +194,33 @@ class Pairs:
         return len(self.codes) > 20 * HELD or len(self.words) > 5 * HELD
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        """The counts so far, by the hashes of their words, the lesser one first; then it starts anew."""
+        """The counts so far, by the hashes of their words, the lesser one first and once for all its pairs; then it starts anew.
+        Of a hub, the pairs are parted by the first six bits of the other hash."""
         self.merge()
         h = np.array(self.hashes, np.int64)
         u, v = h[self.codes >> 32], h[self.codes & 0xFFFFFFFF]
-        a, b = np.minimum(u, v), np.maximum(u, v)
-        order = np.lexsort((b, a))  # equal values side by side compress
-        a, b, n = a[order], b[order], self.n[order]
+        two = u != v
+        a, b, n = np.minimum(u, v)[two], np.maximum(u, v)[two], self.n[two]
+        at = a % (len(self.hubs) * 64)
+        part = np.where(self.hubs[at >> 6] >> (at & 63) & 1, b >> 58, 0)
+        order = np.lexsort((b, a))  # parts stand in order too
+        a, part, b, n = a[order], part[order], b[order], n[order]
         for i in range(0, len(a), HELD):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + HELD]) for x in (a, b, n)], ["a", "b", "n"])
-        self.__init__(self.rare, self.common)
+            x, p, y, k = (z[i : i + HELD] for z in (a, part, b, n))
+            first = np.concatenate([[0], np.flatnonzero((np.diff(x) != 0) | (np.diff(p) != 0)) + 1])
+            to = np.append(first, len(x)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(to, z) for z in (y, k)]
+            yield pa.RecordBatch.from_arrays([pa.array(x[first]), pa.array(p[first]), *lists], ["a", "part", "b", "n"])
+        self.__init__(self.rare, self.common, self.hubs)
 
 
 def pairs(docs: DataFrame, counts: DataFrame, n_docs: int, least: int = PAIRS) -> DataFrame:
     """How often words of the graph stand within SPAN of each other, if least times or more: a and b (hashes, a < b) and n."""
     common = frozenset(r.term for r in counts.filter((F.col("docs") > max(FEW, COMMON * n_docs))).select("term").collect())
-    rare = bitmap(nodes(counts, n_docs))
+    rare, hubs = bitmap(nodes(counts, n_docs)), bitmap(nodes(counts.filter(F.col("docs") > HUB), n_docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Pairs(np.frombuffer(rare, np.int64), common)
+        held = Pairs(np.frombuffer(rare, np.int64), common, np.frombuffer(hubs, np.int64))
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 held.add(text)
@@ -203,8 +228,9 @@ def pairs(docs: DataFrame, counts: DataFrame, n_docs: int, least: int = PAIRS) -
                 yield from held.rows()
         yield from held.rows()
 
-    found = docs.select("text").mapInArrow(run, "a long, b long, n long").filter("a <> b")
-    return found.groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    found = docs.select("text").mapInArrow(run, "a long, part long, b array<long>, n array<long>").repartition("a", "part")
+    single = found.select("a", "part", F.inline(F.arrays_zip("b", "n")))  # of a part, all rows of a pair are in one task
+    return single.groupBy("a", "part", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("a", "b", "n")
 
 
 def graph(found: DataFrame, of: DataFrame) -> DataFrame:

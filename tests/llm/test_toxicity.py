@@ -2,6 +2,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 
@@ -48,6 +49,43 @@ def test_counts_and_pairs_equal_brute_force(spark, monkeypatch):
         assert got == {p: n for p, n in near.items() if n >= least}
 
 
+def test_pairs_of_hubs_are_parted_and_equal_brute_force(spark, monkeypatch):
+    rnd = random.Random(7)
+    words = [f"{a}{b}" for a in "abcde" for b in "fghij"]
+    rows = [(" ".join(rnd.choices(words, k=40)),) for _ in range(50)]
+    df = spark.createDataFrame(rows, "text string").selectExpr("text", "CAST(NULL AS INT) AS toxic")
+    near = Counter(tuple(sorted((toxicity.hashed(x), toxicity.hashed(y)))) for (t,) in rows for x, y in zip(t.split(), t.split()[1:], strict=False) if x != y)
+    counts = toxicity.counted(df)
+    for hub in (0, 1_000_000):
+        monkeypatch.setattr(toxicity, "HUB", hub)
+        found = toxicity.pairs(df, counts, 10_000)
+        assert {(r.a, r.b): r.n for r in found.collect()} == {p: n for p, n in near.items() if n >= toxicity.PAIRS}
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_pairs_of_a_word_travel_in_one_row():
+    everything, none = np.full(16, -1, np.int64), np.zeros(16, np.int64)
+    words = [f"{a}{b}" for a in "abcde" for b in "fghij"]
+    text = " ".join(random.Random(8).choices(words, k=2000))
+    for hubs in (none, everything):
+        held = toxicity.Pairs(everything, frozenset(), hubs)
+        held.add(text)
+        rows = [r for batch in held.rows() for r in batch.to_pylist()]
+        near = Counter(tuple(sorted((toxicity.hashed(x), toxicity.hashed(y)))) for x, y in zip(text.split(), text.split()[1:], strict=False) if x != y)
+        assert {(r["a"], b): n for r in rows for b, n in zip(r["b"], r["n"], strict=True)} == near
+        assert len(rows) == len({(a, b >> 58 if hubs is everything else 0) for a, b in near})
+
+
+def test_no_shuffle_file_is_left(spark):
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for d in folders for f in Path(d).rglob("shuffle_*")}
+    was, key = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    found = toxicity.written(spark.range(1000).selectExpr("id % 10 AS k").groupBy("k").count(), "shuffled")
+    assert not files() - was and found.count() == 10 and spark.conf.get(key) == before
+
+
 def test_hashes_and_bitmap(spark):
     df = spark.createDataFrame([("é",), ("",), ("word",)], "term string").selectExpr("term", "xxhash64(term) AS h")
     assert all(r.h == toxicity.hashed(r.term) for r in df.collect())
