@@ -88,7 +88,8 @@ def keyed(fps: DataFrame, reach: int) -> DataFrame:
 
 
 def close(own: DataFrame, probe: DataFrame, on: list[str], bits: int) -> DataFrame:
-    met = own.withColumnRenamed("fp", "a").join(probe.withColumnRenamed("fp", "b"), on)
+    """The pairs that meet. Always by shuffle: Spark sizes a table as before its explode, and would broadcast 34 replicas a fingerprint."""
+    met = own.withColumnRenamed("fp", "a").hint("merge").join(probe.withColumnRenamed("fp", "b").hint("merge"), on)
     return met.filter((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 

@@ -2,6 +2,7 @@ import random
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from siltstone.llm import queries, simhash
 
@@ -59,6 +60,16 @@ def test_links_and_components(spark, crowd):
     assert got == want and len(want) > 50
 
 
+@pytest.mark.parametrize("crowd", [2000, 0])
+def test_replicas_are_never_broadcast(spark, tmp_path, crowd):
+    """Spark sizes what an explode gives as if it were one row for each, so a table of some MB passed for one to broadcast."""
+    spark.range(3000).select(F.xxhash64("id").alias("fp")).write.parquet(str(tmp_path / "fps"))
+    plan = simhash.links(spark.read.parquet(str(tmp_path / "fps")), crowd=crowd)._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    met = [line for line in joins if "Inner" in line]
+    assert len(met) == (2 if crowd == 0 else 1) and all("SortMergeJoin" in line for line in met), joins
+
+
 def test_chain_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (205, 200)]
     random.Random(0).shuffle(edges)
