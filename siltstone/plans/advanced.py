@@ -106,10 +106,7 @@ def rtree_within(spark: SparkSession, d: str) -> DataFrame:
 
 @query("rtree_overlap_join", f"WITH b AS ({BOXES}) SELECT a.vec_id AS a, b.vec_id AS b FROM b a JOIN b ON a.vec_id < b.vec_id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1")
 def rtree_overlap_join(spark: SparkSession, d: str) -> DataFrame:
-    a = boxes(spark, d)
-    b = a.toDF("b", "u0", "u1", "v0", "v1")
-    met = R.overlap_join(a, b, [("x0", "x1"), ("y0", "y1")], [("u0", "u1"), ("v0", "v1")], 0.25)
-    return met.filter("vec_id < b").select(c("vec_id").alias("a"), "b")
+    return R.overlap_pairs(boxes(spark, d), "vec_id", ("x0", "x1"), ("y0", "y1"))
 
 
 @query("geopoly_area", f"SELECT vec_id, round(CAST(x1 - x0 AS DOUBLE) * CAST(y1 - y0 AS DOUBLE), 6) AS area, true AS inside FROM ({BOXES}) WHERE x1 > x0 AND y1 > y0")

@@ -1,6 +1,7 @@
 """Operators on small rows that the tables don't hold."""
 
 import math
+import random
 import sqlite3
 
 import pytest
@@ -11,6 +12,7 @@ from siltstone.operators import fulltext as T
 from siltstone.operators import relational as R
 from siltstone.operators import sketches as K
 from siltstone.operators import spatial as G
+from siltstone.plans import advanced
 from siltstone.sources import store as S
 from siltstone.sources import tables
 
@@ -31,6 +33,30 @@ def test_series(spark):
     assert [r.v for r in got] == [[1, 3, 5], [5, 3, 1], []]
 
 
+@pytest.mark.parametrize("strips", [1, 4, 64])
+def test_overlapping_boxes(spark, monkeypatch, strips):
+    rnd, inf, nan = random.Random(5), math.inf, math.nan
+    side = lambda: sorted(rnd.choice([rnd.random() * 9, float(rnd.randrange(9))]) for _ in range(2))
+    rows = [(i % 190, *side(), *side()) for i in range(200)] + [(200 + i, 3.0, 4.0, 3.0, 4.0) for i in range(30)]
+    rows += [(300, -inf, inf, 2.0, 1e12), (301, 1.0, nan, 0.0, -0.0), (302, nan, nan, 1.0, 9.0), (303, 5.0, 3.0, 0.0, 9.0), (304, None, 1.0, 0.0, 1.0), (None, 0.0, 9.0, 0.0, 9.0)]
+    le = lambda p, q: math.isnan(q) or p <= q
+    want = sorted((a[0], b[0]) for a in rows for b in rows if None not in a + b and a[0] < b[0] and le(a[1], b[2]) and le(b[1], a[2]) and le(a[3], b[4]) and le(b[3], a[4]))
+    monkeypatch.setattr(R, "STRIPS", strips)
+    monkeypatch.setattr(R, "REPLICA", 0)  # as many strips as there may be
+    got = R.overlap_pairs(spark.createDataFrame(rows, "k long, x0 double, x1 double, y0 double, y1 double"), "k", ("x0", "x1"), ("y0", "y1"))
+    assert sorted((r.a, r.b) for r in got.collect()) == want and len(want) > 2000
+
+
+def test_equal_boxes_are_paired_in_many_tasks(spark, tmp_path):
+    spark.range(2000).select(F.col("id").alias("vec_id"), F.array(*[F.lit(0.1).cast("float")] * 4).alias("embedding")).write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        each = [r["count"] for r in advanced.rtree_overlap_join(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(each) == 2000 * 1999 // 2 and max(each) < 0.5 * sum(each)
+
+
 @pytest.mark.parametrize(("text", "want"), [("big AND cat", [1, 3]), ("cat NOT big", [2]), ('"big cat"', [1]), ("NEAR(big cat, 1)", [1, 3]), ("do*", [2]), ("^big", [1]), ("(dog OR big) cat", [1, 2, 3])])
 def test_search(spark, text, want):
     idx = T.index(spark.createDataFrame([(1, "Big cat sat"), (2, "a dog, a CAT"), (3, "the cat is big")], "d long, t string"), "d", "t")
