@@ -9,7 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.sources.tables import scratch
+
 K1, B = 1.2, 0.75
+#: Ids that are there more than once, up to which they are broadcast to find their texts; beyond, texts and ids meet by shuffle.
+REPEATED = 200_000
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -31,6 +35,27 @@ def postings(idx: DataFrame) -> DataFrame:
     return idx.groupBy("term", "id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
+def vocabulary(docs: DataFrame, id_col: str, text_col: str, kind: str = "unicode61") -> DataFrame:
+    """term, docs (different ids that have it, null not counted) and uses. Each text adds its words up to counts by term before
+    anything is shuffled, so a term is one row per task. Texts whose id is there more than once are found by their
+    ids alone, and only for these are pairs of term and id gathered, to take off what was counted twice."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    words = tokens(F.col("text"), kind)
+    one = F.col("id").isNotNull().cast("long")
+    each = lambda xs, docs, uses: F.transform(xs, lambda t: F.struct(t.alias("term"), docs.alias("docs"), uses.alias("uses")))
+    zero = F.lit(0).cast("long")
+    both = rows.select(words.alias("words"), one.alias("one")).select(F.inline(F.concat(each(F.col("words"), zero, F.lit(1).cast("long")), each(F.array_distinct("words"), F.col("one"), zero))))
+    path = scratch(docs.sparkSession, "repeated")
+    rows.groupBy("id").count().filter("id IS NOT NULL AND count > 1").select("id").write.parquet(path)
+    repeated = docs.sparkSession.read.schema(rows.select("id").schema).parquet(path)
+    n = repeated.count()
+    if n:
+        again = rows.join(F.broadcast(repeated) if n <= REPEATED else repeated.hint("merge"), "id", "left_semi")
+        twice = again.select("id", F.explode(F.array_distinct(words)).alias("term")).groupBy("term", "id").agg((1 - F.count(F.lit(1))).alias("docs"))
+        both = both.unionByName(twice.select("term", "docs", zero.alias("uses")))
+    return both.groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("uses").alias("uses"))
+
+
 class Query:
     """term, term*, ^term, "a phrase", NEAR(a b, k), AND, OR, NOT and parentheses; terms side by side mean AND."""
 

@@ -12,7 +12,7 @@ from siltstone.operators import fulltext as T
 from siltstone.operators import relational as R
 from siltstone.operators import sketches as K
 from siltstone.operators import spatial as G
-from siltstone.plans import advanced
+from siltstone.plans import advanced, search
 from siltstone.sources import store as S
 from siltstone.sources import tables
 
@@ -63,6 +63,32 @@ def test_search(spark, text, want):
     assert sorted(r.id for r in T.match(idx, text).collect()) == want
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_vocabulary(spark, monkeypatch, most):
+    monkeypatch.setattr(T, "REPEATED", most)
+    rows = [(1, "a b A"), (1, "b b c"), (2, "a"), (2, "a"), (3, None), (None, "a z"), (None, "a"), (4, "")]
+    got = T.vocabulary(spark.createDataFrame(rows, "d long, t string"), "d", "t").collect()
+    assert sorted((r.term, r.docs, r.uses) for r in got) == [("a", 2, 6), ("b", 1, 3), ("c", 1, 1), ("z", 0, 1)]
+
+
+def test_postings_are_counted_before_they_are_shuffled(spark, tmp_path):
+    """What is shuffled is terms per task: no row for each document and term."""
+    text = F.concat_ws(" ", *[F.lit(w) for w in "the same few words in all of them".split()])
+    spark.range(5000, numPartitions=2).select(F.col("id").alias("doc_id"), text.alias("text")).write.parquet(str(tmp_path / "documents.parquet"))
+    df = search.fts_postings(spark, str(tmp_path))
+    assert sorted((r.term, r.docs, r.uses) for r in df.collect()) == sorted((w, 5000, 5000) for w in "the same few words in all of them".split())
+    plan = df._jdf.queryExecution().executedPlan()
+    moved, todo = [], [plan.executedPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan]
+    while todo:
+        node = todo.pop()
+        if "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+        if node.nodeName() == "Exchange":
+            moved.append(node.metrics().apply("shuffleRecordsWritten").value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert moved and sum(moved) < 100
+
+
 def test_snippet_and_highlight(spark):
     df = spark.createDataFrame([("one two three Cat four five cat six",)], "t string")
     assert df.select(T.snippet(F.col("t"), ["cat"], "[", "]", "..", 4).alias("s")).first().s == "..[Cat] four five [cat].."
